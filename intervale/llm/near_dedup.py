@@ -5,7 +5,8 @@ shingle is hashed anew into one bin and the least value of the first round that
 BINS rounds the bins still empty take the least value over all shingles. Every coordinate is thus filled and two sets'
 coordinates agree with their Jaccard similarity as probability, with Chernoff bounds as for
 independent draws. BANDS bands of ROWS coordinates each make candidates: at similarity 0.75 a pair misses
-all 40 bands with probability (1 - 0.75**4)**40 = 2.5e-7.
+all 72 bands with probability (1 - 0.75**7)**72 = 3e-5, at 0.8 with 4e-8; pairs that share a tenth of their
+shingles, as documents with a common header, meet in one of 140,000 cases.
 
 Equal sets are one class from the start. Candidates are then confirmed on full sets in three steps, so that no group's
 pairs are all written out: each class against the bucket leader it shares most bands with; each against its other bucket
@@ -25,16 +26,19 @@ from intervale.llm.components import components
 from intervale.llm.flat import mix, shingle_sets
 from intervale.llm.scratch import Scratch
 
-BINS, ROWS = 160, 4
+BINS, ROWS = 504, 7
 BANDS = BINS // ROWS
-#: A pair of similarity >= 0.75 agrees in fewer than half of 160 coordinates with probability below
-#: exp(-160 * KL(0.5 || 0.75)) = 1e-10; such pairs are not fetched for the exact check.
-LEAST_AGREEING = BINS // 2
+#: Of SHORT coordinates a pair of similarity >= 0.75 agrees in fewer than 0.55 with probability below
+#: exp(-256 * KL(0.55 || 0.75)) = 4e-11; such pairs are not fetched for the exact check.
+SHORT = 256
+LEAST_AGREEING = SHORT * 55 // 100
+#: Documents whose ids (8 bytes each) are broadcast to fetch their texts; more are fetched by a join.
+SENT_IDS = 2_000_000
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(77))
 _SEEDS = _rng.integers(1, 1 << 63, 2 * BINS, dtype=np.uint64) | _U(1)
 _BAND = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
-_HASH_BITS = _U(44)
+_HASH_BITS = _U(44)  # beside 9 bits of the bin and 10 of the round
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -43,15 +47,15 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     empty = np.ones(BINS, bool)
     m, done = len(shingles), 0
     while empty.any() and done < BINS:
-        some = min(BINS - done, max(1, 1200 // m))
+        some = min(BINS - done, max(1, 5 * BINS // m))
         rounds = np.arange(done, done + some)
         h = mix(shingles[:, None] ^ _SEEDS[rounds])
         # bin, then round, then hash: the least entry of a bin is its first round's least hash
         bins = (h >> _U(32)) * _U(BINS) >> _U(32)
-        key = np.sort(((bins << _U(9) | rounds.astype(np.uint64)) << _HASH_BITS | (h * _U(0x9E3779B97F4A7C15)) >> _U(20)).ravel())
-        at = np.searchsorted(key, np.arange(BINS, dtype=np.uint64) << (_HASH_BITS + _U(9)))
+        key = np.sort(((bins << _U(10) | rounds.astype(np.uint64)) << _HASH_BITS | (h * _U(0x9E3779B97F4A7C15)) >> _U(20)).ravel())
+        at = np.searchsorted(key, np.arange(BINS, dtype=np.uint64) << (_HASH_BITS + _U(10)))
         first = key[np.minimum(at, len(key) - 1)]
-        hit = empty & (at < len(key)) & (first >> (_HASH_BITS + _U(9)) == np.arange(BINS, dtype=np.uint64))
+        hit = empty & (at < len(key)) & (first >> (_HASH_BITS + _U(10)) == np.arange(BINS, dtype=np.uint64))
         values[hit] = first[hit]
         empty &= ~hit
         done += some
@@ -79,7 +83,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 high.append(int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                 v = sketch(s) if len(s) else None
                 keys.append(band_keys(v).astype(np.int64) if len(s) else None)
-                short.append((mix(v) & _U(255)).astype(np.uint8).tobytes() if len(s) else None)
+                short.append((mix(v[:SHORT]) & _U(255)).astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "n", "low", "high", "keys", "short"])
 
 
@@ -125,19 +129,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         sets.where("n > 0").groupBy("low", "high", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "keys", "short")).alias("one")).where("rep is not null").select("low", "high", "n", "rep", F.col("one.keys").alias("keys"), F.col("one.short").alias("short")),
         "classes",
     )
-    buckets = classes.select("rep", "n", F.posexplode("keys").alias("band", "key")).select("rep", "n", F.xxhash64("band", "key").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    shared = scratch.table(buckets.join(leaders, "key").select("key", "rep", "n", "leader"), "buckets")
+    ids = scratch.table(sets.select("doc_id", "n", "low", "high"), "ids")
+    scratch.drop("sets")
+    buckets = classes.select("rep", F.explode("keys").alias("key"))
+    leaders = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader")
+    shared = scratch.table(buckets.join(leaders, "key").join(classes.select("rep", "n"), "rep").select("key", "rep", "n", "leader"), "buckets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b) whose full sets are similar enough; texts come from the input, b's last so that equal b lie together."""
         pairs = scratch.table(pairs, f"{name}-pairs")
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        wanted = scratch.table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-wanted")
+        if wanted.count() <= SENT_IDS:
+            wanted = F.broadcast(wanted)
         some = scratch.table(texts.join(wanted, "doc_id", "left_semi").distinct(), f"{name}-texts")
         one = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         two = one.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         out = scratch.table(two.mapInArrow(_confirm(percent, 100), "a long, b long"), name)
-        scratch.drop(f"{name}-pairs", f"{name}-texts")
+        scratch.drop(f"{name}-pairs", f"{name}-texts", f"{name}-wanted")
         return out
 
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
@@ -167,7 +175,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = links.union(confirmed(pairs.mapInArrow(_agreeing, "a long, b long"), "third"))
     found = scratch.table(components(links, scratch, "cc3"), "found3")
 
-    member = sets.select("doc_id", "n", "low", "high").join(of(classes.select("low", "high", "n", "rep"), "rep", "component_id", found), ["low", "high", "n"], "left")
+    member = ids.join(of(classes.select("low", "high", "n", "rep"), "rep", "component_id", found), ["low", "high", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return member.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
@@ -177,7 +185,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         b, a, s, t = (batch.column(batch.schema.get_field_index(c)) for c in ("b", "a", "s", "t"))
-        s, t = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, BINS) for x in (s, t))
+        s, t = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, SHORT) for x in (s, t))
         keep = pa.array((s == t).sum(1) >= LEAST_AGREEING)
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
