@@ -28,10 +28,9 @@ from intervale.llm.scratch import Scratch
 
 BINS, ROWS = 504, 7
 BANDS = BINS // ROWS
-#: Of SHORT coordinates a pair of similarity >= 0.75 agrees in fewer than 0.55 with probability below
-#: exp(-256 * KL(0.55 || 0.75)) = 4e-11; such pairs are not fetched for the exact check.
-SHORT = 256
-LEAST_AGREEING = SHORT * 55 // 100
+#: One bit of each of 256 coordinates: at similarity s two sets agree in a share of 0.5 + s / 2, and a pair of similarity
+#: >= 0.75 in fewer than 184 with probability below exp(-256 * KL(184/256 || 0.875)) = 3e-10; such pairs are not fetched.
+BITS, LEAST_AGREEING = 256, 184
 #: Documents whose ids (8 bytes each) are broadcast to fetch their texts; more are fetched by a join.
 SENT_IDS = 2_000_000
 _U = np.uint64
@@ -76,15 +75,15 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             some = batch.slice(i, 1024)
-            n, low, high, keys, short = [], [], [], [], []
+            n, low, high, keys, bits = [], [], [], [], []
             for s in shingle_sets(some.column(1)):
                 n.append(len(s))
                 low.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
                 high.append(int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                 v = sketch(s) if len(s) else None
                 keys.append(band_keys(v).astype(np.int64) if len(s) else None)
-                short.append((mix(v[:SHORT]) & _U(255)).astype(np.uint8).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "n", "low", "high", "keys", "short"])
+                bits.append(np.packbits((mix(v[:BITS]) & _U(1)).astype(np.uint8)).view(np.int64) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "low", "high", "keys", "bits"])
 
 
 def _confirm(over: int, under: int):
@@ -122,11 +121,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.table(texts.mapInArrow(_set_rows, "doc_id long, n long, low long, high long, keys array<long>, short binary"), "sets")
+    sets = scratch.table(texts.mapInArrow(_set_rows, "doc_id long, n long, low long, high long, keys array<long>, bits array<long>"), "sets")
 
     # one class for equal sets; its least doc_id stands for it
     classes = scratch.table(
-        sets.where("n > 0").groupBy("low", "high", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "keys", "short")).alias("one")).where("rep is not null").select("low", "high", "n", "rep", F.col("one.keys").alias("keys"), F.col("one.short").alias("short")),
+        sets.where("n > 0").groupBy("low", "high", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "keys", "bits")).alias("one")).where("rep is not null").select("low", "high", "n", "rep", F.col("one.keys").alias("keys"), F.col("one.bits").alias("bits")),
         "classes",
     )
     ids = scratch.table(sets.select("doc_id", "n", "low", "high"), "ids")
@@ -168,11 +167,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # 3: all pairs of a bucket whose components differ and whose sketches don't rule them out
     placed = scratch.table(of(shared, "rep", "c", found), "placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").select("key", "rep", "n", "c")
-    pairs = open_.join(open_.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d")), "key").where("c < d").where(fits).select(F.col("rep").alias("a"), "b").distinct()
-    short = classes.select("rep", "short")
-    pairs = pairs.join(short.select(F.col("rep").alias("a"), F.col("short").alias("s")), "a").join(short.select(F.col("rep").alias("b"), F.col("short").alias("t")), "b")
-    links = links.union(confirmed(pairs.mapInArrow(_agreeing, "a long, b long"), "third"))
+    words = range(BITS // 64)
+    open_ = placed.join(mixed, "key", "left_semi").join(classes.select("rep", *(F.col("bits")[i].alias(f"b{i}") for i in words)), "rep").select("key", "rep", "n", "c", *(f"b{i}" for i in words))
+    again = open_.select("key", *(F.col(x).alias(f"_{x}") for x in ("rep", "n", "c", *(f"b{i}" for i in words))))
+    agreeing = f"{BITS} - ({' + '.join(f'bit_count(b{i} ^ _b{i})' for i in words)}) >= {LEAST_AGREEING}"
+    small = F.expr(f"100 * least(n, _n) >= {percent} * greatest(n, _n)")
+    pairs = open_.join(again, (open_["key"] == again["key"]) & F.expr("c < _c") & small & F.expr(agreeing)).select(F.col("rep").alias("a"), F.col("_rep").alias("b")).distinct()
+    links = links.union(confirmed(pairs, "third"))
     found = scratch.table(components(links, scratch, "cc3"), "found3")
 
     member = ids.join(of(classes.select("low", "high", "n", "rep"), "rep", "component_id", found), ["low", "high", "n"], "left")
@@ -180,16 +181,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return member.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        b, a, s, t = (batch.column(batch.schema.get_field_index(c)) for c in ("b", "a", "s", "t"))
-        s, t = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, SHORT) for x in (s, t))
-        keep = pa.array((s == t).sum(1) >= LEAST_AGREEING)
-        yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: near-duplicates among `documents`."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
