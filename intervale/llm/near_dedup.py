@@ -28,16 +28,16 @@ from intervale.llm.scratch import Scratch
 
 BINS, ROWS = 504, 7
 BANDS = BINS // ROWS
-#: One bit of each of 256 coordinates: at similarity s two sets agree in a share of 0.5 + s / 2, and a pair of similarity
-#: >= 0.75 in fewer than 184 with probability below exp(-256 * KL(184/256 || 0.875)) = 3e-10; such pairs are not fetched.
-BITS, LEAST_AGREEING = 256, 184
+#: Four bits of each coordinate: at similarity s two sets agree in a share of s + (1 - s) / 16, and a pair of similarity
+#: 0.75 in fewer than 346 of 504 with probability 1e-5, less than all bands miss it with; such pairs are not fetched.
+WORDS, LEAST_AGREEING = -(-BINS // 64), 346
 #: Documents whose ids (8 bytes each) are broadcast to fetch their texts; more are fetched by a join.
 SENT_IDS = 2_000_000
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(77))
 _SEEDS = _rng.integers(1, 1 << 63, 2 * BINS, dtype=np.uint64) | _U(1)
 _BAND = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
-_HASH_BITS = _U(44)  # beside 9 bits of the bin and 10 of the round
+_HASH_BITS = _U(44)  # beside 10 bits of the round and 9 of the bin
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -71,6 +71,13 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key
 
 
+def planes(values: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate as four planes of WORDS words; spare bits are zero in every sketch."""
+    four = np.zeros(64 * WORDS, np.uint8)
+    four[:BINS] = mix(values) & _U(15)
+    return np.packbits(four >> np.arange(4, dtype=np.uint8)[:, None] & 1, axis=1).view(np.int64).ravel()
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
@@ -82,7 +89,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 high.append(int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                 v = sketch(s) if len(s) else None
                 keys.append(band_keys(v).astype(np.int64) if len(s) else None)
-                bits.append(np.packbits((mix(v[:BITS]) & _U(1)).astype(np.uint8)).view(np.int64) if len(s) else None)
+                bits.append(planes(v) if len(s) else None)
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "low", "high", "keys", "bits"])
 
 
@@ -130,9 +137,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
     ids = scratch.table(sets.select("doc_id", "n", "low", "high"), "ids")
     scratch.drop("sets")
-    buckets = classes.select("rep", F.explode("keys").alias("key"))
+    buckets = classes.select("rep", F.posexplode("keys").alias("band", "key"))
     leaders = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader")
-    shared = scratch.table(buckets.join(leaders, "key").join(classes.select("rep", "n"), "rep").select("key", "rep", "n", "leader"), "buckets")
+    shared = scratch.table(buckets.join(leaders, "key").join(classes.select("rep", "n"), "rep").select("key", "band", "rep", "n", "leader"), "buckets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b) whose full sets are similar enough; texts come from the input, b's last so that equal b lie together."""
@@ -167,12 +174,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # 3: all pairs of a bucket whose components differ and whose sketches don't rule them out
     placed = scratch.table(of(shared, "rep", "c", found), "placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    words = range(BITS // 64)
-    open_ = placed.join(mixed, "key", "left_semi").join(classes.select("rep", *(F.col("bits")[i].alias(f"b{i}") for i in words)), "rep").select("key", "rep", "n", "c", *(f"b{i}" for i in words))
-    again = open_.select("key", *(F.col(x).alias(f"_{x}") for x in ("rep", "n", "c", *(f"b{i}" for i in words))))
-    agreeing = f"{BITS} - ({' + '.join(f'bit_count(b{i} ^ _b{i})' for i in words)}) >= {LEAST_AGREEING}"
-    small = F.expr(f"100 * least(n, _n) >= {percent} * greatest(n, _n)")
-    pairs = open_.join(again, (open_["key"] == again["key"]) & F.expr("c < _c") & small & F.expr(agreeing)).select(F.col("rep").alias("a"), F.col("_rep").alias("b")).distinct()
+    bits = [F.col("bits")[i].alias(f"b{i}") for i in range(4 * WORDS)]
+    marks = F.transform("keys", lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int")).alias("marks")
+    open_ = placed.join(mixed, "key", "left_semi").join(classes.select("rep", marks, *bits), "rep").select("key", "band", "rep", "n", "c", "marks", *(f"b{i}" for i in range(4 * WORDS)))
+    differing = " + ".join("bit_count(" + " | ".join(f"(x.b{i} ^ y.b{i})" for i in range(w, 4 * WORDS, WORDS)) + ")" for w in range(WORDS))
+    meets = [
+        "x.key = y.key and x.c < y.c",
+        f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)",
+        f"{differing} <= {BINS - LEAST_AGREEING}",
+        "array_position(zip_with(x.marks, y.marks, (a, b) -> a = b), true) = x.band + 1",  # in its first common bucket only
+    ]
+    pairs = open_.alias("x").join(open_.alias("y"), F.expr(" and ".join(meets))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     links = links.union(confirmed(pairs, "third"))
     found = scratch.table(components(links, scratch, "cc3"), "found3")
 
