@@ -33,7 +33,7 @@ LENGTH, GRAM = 200, 100
 #: More contexts of one gram than this are counted by key instead of being laid in one text.
 HOT = 4096
 #: Bytes of contexts in one transform, about.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 18
 _U = np.uint64
 _BYTE = np.random.Generator(np.random.PCG64(99)).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -68,19 +68,37 @@ def anchors(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return row, at - offsets[row], h[at], context
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts `key`, and the dense rank of every entry."""
+    order = np.argsort(key)
+    step = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.append(0, np.cumsum(step[1:] != step[:-1]))
+    return order, rank
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first `depth` symbols (at least) by doubling; values below 0 in `text` are unique separators."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    step, n = 1, len(text)
-    while True:
+    """Suffixes sorted by their first `depth` symbols (at least): seven symbols at once, then by doubling.
+
+    Values below 0 in `text` are separators; they differ from each other, count less than bytes and end comparisons.
+    """
+    n, first = len(text), 7
+    symbol = np.concatenate([np.where(text < 0, 0, text + 1), np.zeros(first, np.int64)])
+    key, ended = np.zeros(n, np.int64), np.zeros(n, bool)
+    for k in range(first):
+        key = key << 9 | np.where(ended, 0, symbol[k : n + k])
+        ended |= symbol[k : n + k] == 0
+    order, rank = _ranked(key)
+    # what ends within these symbols differs by its separator
+    owner = np.cumsum(text < 0) - (text < 0)
+    order, rank = _ranked(rank * (n + 1) + np.where(ended, owner + 1, 0))
+    step = first
+    while step <= depth and step < n and rank[order[-1]] < n - 1:
         key = rank * (n + 1)
         key[:-step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
-        rank, step = new, step * 2
-        if step > depth or rank[order[-1]] == n - 1 or step >= n:
-            return order
+        order, rank = _ranked(key)
+        step *= 2
+    return order
 
 
 def expand(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -107,16 +125,18 @@ def expand(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
         size = right - left + 1
         ends = np.cumsum(size)
         at = np.repeat(left - (ends - size), size) + np.arange(ends[-1])
-        key = np.repeat(np.arange(len(left)), size) * 257 + symbol[at]
-        kept = symbol[at] > 0  # what a separator precedes cannot be extended
-        at, key = at[kept], key[kept]
-        if not len(at):
-            break
-        by = np.argsort(key, kind="stable")
-        at, key = at[by], key[by]
+        kind = symbol[at]
+        heads = ends - size
+        low = np.minimum.reduceat(kind, heads)
+        alone = low == np.maximum.reduceat(kind, heads)
+        straight = alone & (low > 0)  # one symbol before all; what a separator precedes cannot be extended
+        mixed = np.repeat(~alone, size) & (kind > 0)
+        both = np.sort((np.repeat(np.arange(len(left)), size)[mixed] * 257 + kind[mixed]) * n + at[mixed])
+        key, at = both // n, both % n
         head = np.flatnonzero(np.diff(key, prepend=-1))
-        tail = np.append(head[1:], len(key)) - 1
-        left, right = last_to_first[at[head]], last_to_first[at[tail]]
+        tail = np.append(head[1:], len(key))[: len(head)] - 1
+        left, right = np.concatenate([left[straight], at[head]]), np.concatenate([right[straight], at[tail]])
+        left, right = last_to_first[left], last_to_first[right]
         new = unset[right + 1]
         left, right = left[new], right[new]
         unset[right + 1] = False
@@ -138,7 +158,8 @@ def repeated_offsets(contexts: list[bytes], places: np.ndarray, groups: np.ndarr
     back = places[owner] - (order - (ends - sizes)[owner])
     fits = (back >= 0) & (ends[owner] - 1 - order >= length)
     owner, back, run = owner[fits], back[fits], run[fits]
-    by = np.lexsort((back, groups[owner], run))
+    dense = np.unique(groups, return_inverse=True)[1]
+    by = np.argsort((run * len(contexts) + dense[owner]) * (int(back.max(initial=0)) + 1) + back)
     owner, back, run = owner[by], back[by], run[by]
     same = (run[1:] == run[:-1]) & (groups[owner[1:]] == groups[owner[:-1]]) & (back[1:] == back[:-1])
     twice = np.zeros(len(run), bool)
@@ -182,11 +203,37 @@ def _context_rows(length: int, gram: int):
     return rows
 
 
-def _transform_rows(length: int):
+def likely(rows: list[tuple], length: int, gram: int) -> list[tuple]:
+    """Contexts (h, c, place, bytes) that share with another of their gram the part common to all strings of a fifth of the
+    distances from the anchor, cut to the strings at such distances."""
+    reach = length - gram
+    step = max(1, reach // 5)
+    spans = [(low, min(low + step, reach)) for low in range(0, max(1, reach), step)]
+    seen: dict[tuple, int] = {}
+    cores = []
+    for h, _, place, context in rows:
+        own = [(h, low, context[place - low : place - high + length]) if place >= low and place - high + length <= len(context) else None for low, high in spans]
+        cores.append(own)
+        for x in own:
+            if x:
+                seen[x] = seen.get(x, 0) + 1
+    out = []
+    for (h, c, place, context), own in zip(rows, cores, strict=True):
+        hit = [span for span, x in zip(spans, own, strict=True) if x and seen[x] > 1]
+        if hit:
+            start = max(0, place - hit[-1][1])
+            out.append((h, c, place - start, context[start : place - hit[0][0] + length]))
+    return out
+
+
+def _transform_rows(length: int, gram: int):
     """Contexts, those of a gram together, to their repeated offsets."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        h, c, places, contexts = zip(*rows, strict=True)
+        rows = likely(rows, length, gram)
+        h, c, places, contexts = zip(*rows, strict=True) if rows else ((),) * 4
+        if not rows:
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())], ["h", "c", "least", "most"])
         least, most = repeated_offsets(list(contexts), np.array(places, np.int64), np.array(h, np.int64), length)
         keep = np.flatnonzero(most >= 0)
         return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)[keep]) for x in (h, c)] + [pa.array(x[keep].astype(np.int32)) for x in (least, most)], ["h", "c", "least", "most"])
@@ -253,7 +300,7 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
     crowded = scratch.table(several.where(F.col("k") > hot).select("h"), "crowded")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     usual = contexts.join(crowded, "h", "left_anti").repartition(parts, "h").sortWithinPartitions("h", "c")
-    found = usual.mapInArrow(_transform_rows(length), "h long, c long, least int, most int")
+    found = usual.mapInArrow(_transform_rows(length, gram), "h long, c long, least int, most int")
     strings = contexts.join(crowded, "h", "left_semi").mapInArrow(_string_rows(length), "h long, c long, back int, s long")
     twice = strings.groupBy("h", "back", "s").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     counted = strings.join(twice, ["h", "back", "s"], "left_semi").groupBy("h", "c").agg(F.min("back").alias("least"), F.max("back").alias("most"))
