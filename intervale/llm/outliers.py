@@ -18,8 +18,8 @@ SPACE = "[\\x20\\x09-\\x0D]"
 #: Coordinates, with the standard deviation that is added to each estimate's own (a regularised determinant: a constant
 #: coordinate, as symbols in clean prose, would otherwise reject any other value).
 FLOORS = {"log_words": 0.5, "word_length": 0.25, "log_symbols": 0.02, "log_dup_lines": 0.3, "repeats": 0.05}
-#: Fixed point: 1 / SCALE.
-SCALE = 256
+#: Fixed point: 1 / SCALE. No coordinate counts for more than MOST, so that sums of products of 3e10 rows fit a long.
+SCALE, MOST = 256, 64
 CORE_SHARE = 0.75
 STEPS = 4
 #: Groups with fewer rows are pooled by language, then over the corpus.
@@ -85,7 +85,7 @@ def vectors(stats: DataFrame) -> DataFrame:
     """`stats` with the coordinates x0.. as whole numbers of 1 / SCALE."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     values = [F.log1p("n_words"), F.col("word_chars") / n, F.log1p(F.col("n_symbols") / n), F.log1p("n_dup_lines"), F.col("n_repeat_words") / n]
-    return stats.select("*", *(F.round(v * SCALE).cast("long").alias(x) for v, x in zip(values, _X, strict=True)))
+    return stats.select("*", *(F.round(F.least(v, F.lit(float(MOST))) * SCALE).cast("long").alias(x) for v, x in zip(values, _X, strict=True)))
 
 
 def _pooled(rows: DataFrame) -> DataFrame:
@@ -118,8 +118,7 @@ def _distance(prefix: str = "") -> Column:
 
 def _sums() -> list[Column]:
     """Exact sums: rows, coordinates, products."""
-    whole = lambda c: F.sum(c.cast("decimal(38,0)"))
-    return [F.count("*").cast("decimal(38,0)").alias("n"), *(whole(F.col(x)).alias(f"s{i}") for i, x in enumerate(_X)), *(whole(F.col(_X[i]) * F.col(_X[j])).alias(f"p{i}{j}") for i, j in _PAIRS)]
+    return [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)), *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"p{i}{j}") for i, j in _PAIRS)]
 
 
 def _estimate(sums: DataFrame, factor: float) -> DataFrame:
@@ -139,25 +138,24 @@ def _estimate(sums: DataFrame, factor: float) -> DataFrame:
     return out.select("grp", *(f"m{i}" for i in range(len(_X))), *(f"l{i}{j}" for i, j in _PAIRS))
 
 
-def robust_estimates(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+def robust_estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     """The reweighted minimum-covariance-determinant estimate of every group, and the number of groups."""
     middle = rows.groupBy("grp").agg(*(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(x) for x in _X))
     floors = list(FLOORS.values())
     spread = lambda i, x: F.sqrt(((F.col(x)[2] - F.col(x)[0]) / (1.349 * SCALE)) ** 2 + floors[i] ** 2)
     start = middle.select("grp", *((F.col(x)[1] / SCALE).alias(f"m{i}") for i, x in enumerate(_X)), *((spread(i, _X[i]) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS))
-    now = scratch.table(start, "start")
-    groups = now.count()
+    now, groups = start, rows.select("grp").distinct().count()
     bins = F.floor(F.log(_distance() + 1e-9) * _BIN).cast("int")
     inside = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     names = ["n", *(f"s{i}" for i in range(len(_X))), *(f"p{i}{j}" for i, j in _PAIRS)]
-    for step in range(STEPS):
+    for _ in range(STEPS):
         # one row a group and distance bin: the window sees a few hundred rows a group, whatever its size
         binned = rows.join(_sent(now, groups), "grp").withColumn("bin", bins).groupBy("grp", "bin").agg(*_sums())
         running = binned.select("grp", "bin", *(F.sum(c).over(inside).alias(c) for c in names), F.sum("n").over(Window.partitionBy("grp")).alias("total"), F.col("n").alias("own"))
         core = running.where(F.col("n") >= CORE_SHARE * F.col("total")).where(F.col("n") - F.col("own") < CORE_SHARE * F.col("total"))
-        now = scratch.table(_estimate(core, CORE_FACTOR), f"step{step}")
+        now = _estimate(core, CORE_FACTOR)
     near = rows.join(_sent(now, groups), "grp").where(_distance() <= NEAR).groupBy("grp").agg(*_sums())
-    return scratch.table(_estimate(near, NEAR_FACTOR), "estimate"), groups
+    return _estimate(near, NEAR_FACTOR), groups
 
 
 def quality_rules(docs: DataFrame, far: float = FAR) -> DataFrame:
@@ -170,7 +168,7 @@ def quality_rules(docs: DataFrame, far: float = FAR) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "rules")
     rows = scratch.table(vectors(base_statistics(docs)), "statistics")
     rows = scratch.table(_pooled(rows), "rows")
-    estimates, groups = robust_estimates(rows.where("not base_failed"), scratch)
+    estimates, groups = robust_estimates(rows.where("not base_failed"))
     judged = rows.join(_sent(estimates, groups), "grp", "left").withColumn("distance", _distance())
     kept = (~F.col("base_failed")) & F.coalesce(F.col("distance") <= far, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
