@@ -105,6 +105,13 @@ def _sent(table: DataFrame, groups: int) -> DataFrame:
     return F.broadcast(table) if groups <= SENT_GROUPS else table
 
 
+def _settled(table: DataFrame, groups: int, scratch: Scratch, name: str) -> DataFrame:
+    """`table` (a row a group) computed once: on the driver up to SENT_GROUPS rows, else in the shared folder."""
+    if groups <= SENT_GROUPS:
+        return table.sparkSession.createDataFrame(table.collect(), table.schema)
+    return scratch.table(table, name)
+
+
 def _distance(prefix: str = "") -> Column:
     """Squared Mahalanobis distance of x0.. by means m0.. and the covariance's Cholesky factor l00.. (forward substitution)."""
     y: list[Column] = []
@@ -138,24 +145,25 @@ def _estimate(sums: DataFrame, factor: float) -> DataFrame:
     return out.select("grp", *(f"m{i}" for i in range(len(_X))), *(f"l{i}{j}" for i, j in _PAIRS))
 
 
-def robust_estimates(rows: DataFrame) -> tuple[DataFrame, int]:
+def robust_estimates(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """The reweighted minimum-covariance-determinant estimate of every group, and the number of groups."""
     middle = rows.groupBy("grp").agg(*(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(x) for x in _X))
     floors = list(FLOORS.values())
     spread = lambda i, x: F.sqrt(((F.col(x)[2] - F.col(x)[0]) / (1.349 * SCALE)) ** 2 + floors[i] ** 2)
     start = middle.select("grp", *((F.col(x)[1] / SCALE).alias(f"m{i}") for i, x in enumerate(_X)), *((spread(i, _X[i]) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS))
-    now, groups = start, rows.select("grp").distinct().count()
+    groups = rows.select("grp").distinct().count()
+    now = _settled(start, groups, scratch, "start")
     bins = F.floor(F.log(_distance() + 1e-9) * _BIN).cast("int")
     inside = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     names = ["n", *(f"s{i}" for i in range(len(_X))), *(f"p{i}{j}" for i, j in _PAIRS)]
-    for _ in range(STEPS):
+    for step in range(STEPS):
         # one row a group and distance bin: the window sees a few hundred rows a group, whatever its size
         binned = rows.join(_sent(now, groups), "grp").withColumn("bin", bins).groupBy("grp", "bin").agg(*_sums())
         running = binned.select("grp", "bin", *(F.sum(c).over(inside).alias(c) for c in names), F.sum("n").over(Window.partitionBy("grp")).alias("total"), F.col("n").alias("own"))
         core = running.where(F.col("n") >= CORE_SHARE * F.col("total")).where(F.col("n") - F.col("own") < CORE_SHARE * F.col("total"))
-        now = _estimate(core, CORE_FACTOR)
+        now = _settled(_estimate(core, CORE_FACTOR), groups, scratch, f"step{step}")
     near = rows.join(_sent(now, groups), "grp").where(_distance() <= NEAR).groupBy("grp").agg(*_sums())
-    return _estimate(near, NEAR_FACTOR), groups
+    return _settled(_estimate(near, NEAR_FACTOR), groups, scratch, "estimate"), groups
 
 
 def quality_rules(docs: DataFrame, far: float = FAR) -> DataFrame:
@@ -168,7 +176,7 @@ def quality_rules(docs: DataFrame, far: float = FAR) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "rules")
     rows = scratch.table(vectors(base_statistics(docs)), "statistics")
     rows = scratch.table(_pooled(rows), "rows")
-    estimates, groups = robust_estimates(rows.where("not base_failed"))
+    estimates, groups = robust_estimates(rows.where("not base_failed"), scratch)
     judged = rows.join(_sent(estimates, groups), "grp", "left").withColumn("distance", _distance())
     kept = (~F.col("base_failed")) & F.coalesce(F.col("distance") <= far, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
