@@ -57,7 +57,7 @@ class Merges:
         self.at = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.decimal = [str(i) for i in range(size)]
-        self.words = WordCodes(self.encode_words, self.special)
+        self.words = WordCodes(lambda words: [x.tobytes() for x in self.encode_words(words)], self.special)
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Token ids of each word."""

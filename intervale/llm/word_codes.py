@@ -17,13 +17,13 @@ import numpy as np
 from intervale.llm.pretoken import split
 
 #: Words kept between batches; beyond it the table starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
 
 
 class WordCodes:
-    """`encode` gives ids of words in bulk; `special` maps special strings to their ids."""
+    """`encode` gives words' ids in bulk, as little-endian unsigned 32-bit integers; `special` maps special strings to their ids."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[Iterable[int]]], special: dict[str, int], kept: int = KEPT_WORDS):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], special: dict[str, int], kept: int = KEPT_WORDS):
         self.encode, self.kept, self.codes = encode, kept, {}
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
         longest = sorted(special, key=len, reverse=True)
@@ -45,12 +45,34 @@ class WordCodes:
         codes = self.codes
         missing = list(set(chain.from_iterable(lists)).difference(codes))
         if missing:
-            for word, ids in zip(missing, self.encode(missing), strict=True):
-                codes[word] = np.asarray(ids, "<u4").tobytes()
+            codes.update(zip(missing, self.encode(missing), strict=True))
         get = codes.__getitem__
         return [b"".join(map(get, x)) for x in lists]
 
 
+def library_encode(t, special: dict[str, int]) -> Callable[[list[str]], list[bytes]]:
+    """Words encoded many to a call: the library cuts texts at special strings before anything else, so one put between
+    words keeps them apart and its id marks their ends."""
+    if not special:
+        return lambda words: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)]
+    between, mark = next(iter(special.items()))
+
+    def encode(words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            ids = np.array(t.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == mark), len(ids))
+            if len(ends) != len(some):
+                out += [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(some, add_special_tokens=False)]
+                continue
+            raw, ends = ids.tobytes(), (ends * 4).tolist()
+            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)]
+        return out
+
+    return encode
+
+
 @lru_cache(2)
 def library_words(path: str) -> WordCodes:
     """Codes by the library for a byte-level .json tokenizer; one per Python worker."""
@@ -61,4 +83,4 @@ def library_words(path: str) -> WordCodes:
     t.no_truncation()
     t.no_padding()
     special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
-    return WordCodes(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)], special)
+    return WordCodes(library_encode(t, special), special)
