@@ -51,6 +51,7 @@ def _matching(edges: list[tuple[int, int]]) -> int:
     for a, b in edges:
         near.setdefault(a, []).append(b)
     owner: dict[int, int] = {}
+    held: dict[int, int] = {}
     size = 0
     for root in near:
         back, seen, stack, free = {}, set(), [root], None
@@ -67,10 +68,11 @@ def _matching(edges: list[tuple[int, int]]) -> int:
                 stack.append(owner[b])
         if free is None:
             continue
-        held = {a: b for b, a in owner.items() if a in near}
         while free is not None:
             a = back[free]
-            free, owner[free] = held.get(a) if a != root else None, a
+            before = held.get(a)
+            owner[free], held[a] = a, free
+            free = before
         size += 1
     return size
 
