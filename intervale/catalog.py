@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale import testbed as T
-from intervale.config import Candidates
+from intervale.config import Boundary, Calibration, Candidates, Settings
 from intervale.functions import text, vectors
 from intervale.functions.vectors import rounded as r
-from intervale.operators import boundaries, evaluate, pool, refine, stats
+from intervale.operators import boundaries, evaluate, network, pool, refine, stats
+from intervale.plans import generate as plan
 from intervale.sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,3 +246,22 @@ query("scan_frames", "SELECT video_id, t, cast(len(h) AS INT) AS dim FROM frames
 query("scan_captions", "SELECT video_id, t, caption FROM caps")(lambda s, d: T.captions(s, d))
 query("scan_manifest", "SELECT video_id, category, round(duration, 6) AS duration FROM videos")(lambda s, d: files.checked_ids(T.videos(s, d)).select("video_id", "category", F.round("duration", 6).alias("duration")))
 query("synth_frames")(lambda s, d: files.synthetic_frames(s))
+
+
+def _corpus(s, d):
+    return plan.Corpus(T.frames(s, d), T.captions(s, d), T.text_feats(s, d), T.videos(s, d).drop("category_id"))
+
+
+def _two_rounds(s, d):
+    return plan.generate(_corpus(s, d), Settings(boundary=Boundary(max_iters=2, epochs=1), calibration=Calibration(n_event_types=4, use_manifest_categories=True)))
+
+
+@query("boundary_prob")
+def boundary_prob(s, d):
+    b = Boundary(epochs=1)
+    learned = network.train(plan.Store(s).table(network.tracks(T.frames(s, d), _selected(s, d)), "tracks"), b, b.seed)
+    return network.probabilities(T.frames(s, d), learned[0], b)
+
+
+query("refine_round")(lambda s, d: _two_rounds(s, d).selected.select("video_id", "sel_rank", "uid", "s", "e", "type_id", "caption"))
+query("round_history")(lambda s, d: s.createDataFrame(_two_rounds(s, d).history, "round int, train_loss double, jaccard double, shift double, n_events long, converged boolean"))

@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from intervale.config import Settings
+from intervale.config import Boundary, Calibration, Candidates, Settings
 from intervale.functions import text, vectors
-from intervale.operators import boundaries, evaluate, pool, refine, stats
+from intervale.operators import boundaries, evaluate, network, pool, refine, stats
+from intervale.plans import generate as plan
 from intervale.sources import files, sinks
 
 
@@ -123,3 +124,47 @@ def test_settings():
     assert s.override("calibration.n_event_types=5").calibration.n_event_types == 5
     with pytest.raises(ValueError):
         s.override("scores.nothing=1")
+
+
+def test_network_slopes_equal_differences():
+    b = Boundary(hidden=4, width=8, heads=2)
+    rng = np.random.default_rng(1)
+    x, flat = rng.normal(size=(14, 3)), network.fresh(3, b, 5)
+    flat += rng.normal(0, 0.1, flat.shape)
+
+    def loss(w):
+        one = network.Pass(network._named(w, 3, b), b.heads)
+        return one, network.loss_and_slope(one.forward(x), [2, 6], [6, 11], b, 14, 2, 2.5)
+
+    one, (_, slope) = loss(flat)
+    total = np.zeros_like(flat)
+    one.backward(slope, network._named(total, 3, b))
+    for i in range(0, len(flat), 3):
+        step = np.zeros_like(flat)
+        step[i] = 1e-6
+        assert total[i] == pytest.approx((loss(flat + step)[1][0] - loss(flat - step)[1][0]) / 2e-6, abs=1e-6)
+
+
+def test_generation_refines_to_labels(spark, tmp_path):
+    made = files.synthetic_frames(spark, 6, 16, 4, 16)
+    corpus = plan.Corpus(made.select("video_id", "t", "h"), made.select("video_id", "t", F.concat(F.lit("at "), F.col("t").cast("string")).alias("caption")), made.select("video_id", "t", "q"), made.select("video_id", F.lit("c").alias("category"), F.lit(None).cast("double").alias("duration")).distinct())
+    short = spark.createDataFrame([("short", t, [1.0] * 16) for t in range(5)], "video_id string, t int, h array<float>")
+    corpus.frames = corpus.frames.union(short)
+    settings = Settings(candidates=Candidates(pool_max=40), boundary=Boundary(max_iters=2, epochs=1, hidden=8, width=16, batch=3), calibration=Calibration(type_k_range=(3, 4), use_manifest_categories=True))
+    out = plan.generate(corpus, settings, folder=f"file://{tmp_path}")
+    events = out.selected.collect()
+    assert {r["video_id"] for r in events} == {f"demo_{i:04d}" for i in range(6)} and 1 <= len(out.history) <= 2
+    for r in events:
+        assert 0 <= r["s"] and r["e"] < 64 and r["e"] - r["s"] + 1 >= 6 and r["type_id"] >= 0 and r["caption"].startswith("at ")
+    assert len({(r["video_id"], r["uid"]) for r in events}) == len(events)
+    assert all(0 <= h["jaccard"] <= 1 and h["n_events"] <= 60 and np.isfinite(h["train_loss"]) for h in out.history)
+    with pytest.raises(ValueError):
+        plan.generate(plan.Corpus(short, corpus.captions, corpus.text, corpus.videos), settings, folder=f"file://{tmp_path}")
+
+
+def test_clusters_choose_the_planted_number(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in np.eye(6)[i % 4] + rng.normal(0, 0.02, 6)]) for i in range(60)]
+    points = spark.createDataFrame(data, "key int, v array<double>")
+    assert len(stats.clusters(points, (2, 6), None, 5)) == 4
+    assert stats.clusters(points.limit(3), (2, 6), None, 5) is None
