@@ -220,6 +220,7 @@ _INT, _DBL = ("n_pred", "n_ref", "recovered_30", "recovered_50", "recovered_70")
 query("eval_per_video", f"SELECT video_id, {', '.join(_INT)}, {', '.join(R(c) for c in _DBL)} FROM ({_PV})")(lambda s, d: _per_video(s, d).select("video_id", *_INT, *(r(F.col(c)).alias(c) for c in _DBL)))
 query("eval_summary", f"SELECT count(*) AS videos, cast(sum(n_pred) AS BIGINT) AS n_pred, cast(sum(n_ref) AS BIGINT) AS n_ref, {R('avg(mean_best_iou)', 'mean_best_iou')}, {R('avg(duplicate_fraction)', 'duplicate_fraction')}, {R('sum(f1_sum) / greatest(sum(n_pred), 1)', 'token_f1')}, " + ", ".join(R(f"sum(recovered_{t}) / greatest(sum(n_ref), 1)", f"coverage_{t}") for t in (30, 50, 70)) + f" FROM ({_PV})")(lambda s, d: evaluate.summary(_per_video(s, d)).select("videos", "n_pred", "n_ref", *(r(F.col(c)).alias(c) for c in ("mean_best_iou", "duplicate_fraction", "token_f1", "coverage_30", "coverage_50", "coverage_70"))))
 query("eval_validate", "SELECT count(*) FILTER (NOT (start >= 0 AND start < end_)) AS bad FROM ivl")(lambda s, d: T.intervals(s, d, "pred").union(T.intervals(s, d, "ref")).agg(F.count_if(~((F.col("start") >= 0) & (F.col("start") < F.col("end_")))).alias("bad")))
+query("eval_matched")(lambda s, d: evaluate.micro(evaluate.summary(_per_video(s, d)), evaluate.matches(_pairs(s, d))))
 query("bipartite_match")(lambda s, d: evaluate.matches(_pairs(s, d)))
 
 

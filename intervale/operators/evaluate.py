@@ -113,6 +113,14 @@ def summary(rows: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7)) ->
     return rows.agg(F.count("*").alias("videos"), F.sum("n_pred").alias("n_pred"), F.sum("n_ref").alias("n_ref"), F.avg("mean_best_iou").alias("mean_best_iou"), F.avg("duplicate_fraction").alias("duplicate_fraction"), (F.sum("f1_sum") / F.greatest(F.sum("n_pred"), F.lit(1))).alias("token_f1"), *cover)
 
 
+def micro(whole: DataFrame, found: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7)) -> DataFrame:
+    """The row of `summary` with precision, recall and F1 at each threshold by the matchings `found` (of `matches`)."""
+    tp = found.agg(*(F.coalesce(F.sum(F.when(F.col("threshold") == t, F.col("tp"))), F.lit(0)).alias(f"tp_{int(t * 100)}") for t in thresholds))  # one row
+    one = lambda *c: F.greatest(sum((F.col(x) for x in c), F.lit(0)), F.lit(1))
+    rates = [[(F.col(k) / one("n_pred")).alias(f"precision_{k[3:]}"), (F.col(k) / one("n_ref")).alias(f"recall_{k[3:]}"), (2 * F.col(k) / one("n_pred", "n_ref")).alias(f"f1_{k[3:]}")] for k in tp.columns]
+    return whole.join(F.broadcast(tp)).select(*whole.columns, *tp.columns, *sum(rates, []))
+
+
 def bootstrap_interval(values: list[float], replicates: int = 2000, seed: int = 42) -> tuple[float, float]:
     """The 2.5 % and 97.5 % quantiles of resampled means; values are one a video, on the driver."""
     x = np.asarray(values, float)

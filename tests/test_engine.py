@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from intervale import __main__ as cli
 from intervale.config import Boundary, Calibration, Candidates, Settings
 from intervale.functions import text, vectors
 from intervale.operators import boundaries, evaluate, network, pool, refine, stats
@@ -168,3 +169,22 @@ def test_clusters_choose_the_planted_number(spark):
     points = spark.createDataFrame(data, "key int, v array<double>")
     assert len(stats.clusters(points, (2, 6), None, 5)) == 4
     assert stats.clusters(points.limit(3), (2, 6), None, 5) is None
+
+
+def test_command_line_writes_labels_and_evaluates_them(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    (tmp_path / "m.json").write_text(json.dumps({"videos": [{"id": f"v{i}", "category": "x"} for i in range(2)]}))
+    for name in ("h", "q", "c"):
+        (tmp_path / name).mkdir()
+    for i in range(2):
+        base = np.repeat(rng.normal(size=(4, 8)), 12, 0)
+        for name in ("h", "q"):
+            np.save(tmp_path / name / f"v{i}.npy", (base + rng.normal(0, 0.05, base.shape)).astype(np.float32))
+        (tmp_path / "c" / f"v{i}.json").write_text(json.dumps([f"scene {t // 12}" for t in range(48)]))
+    args = ["generate", "--manifest", str(tmp_path / "m.json"), "--feats", str(tmp_path / "h"), "--captions", str(tmp_path / "c"), "--text", str(tmp_path / "q"), "--out", str(tmp_path / "out"), "--variant", "initial", "--set", "scores.num_events=3"]
+    report = cli.run_generate(spark, cli.parser().parse_args(args))
+    assert report["config"]["scores"]["num_events"] == 3 and report["iteration"] == []
+    labels = json.loads((tmp_path / "out" / "train_pseudo.json").read_text())
+    assert sorted(labels) == ["v0", "v1"] and all(1 <= len(v["timestamps"]) <= 3 and v["duration"] == 16 for v in labels.values())
+    same = cli.run_evaluate(spark, cli.parser().parse_args(["evaluate", "--pred", report["labels"], "--ref", report["labels"], "--out", str(tmp_path / "eval")]))
+    assert same["precision_70"] == same["recall_70"] == same["f1_30"] == same["coverage_50"] == same["token_f1"] == 1.0
