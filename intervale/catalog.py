@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale import testbed as T
-from intervale.config import Boundary, Calibration, Candidates, Settings
+from intervale.config import Boundary, Calibration, Candidates, Scores, Settings
 from intervale.functions import text, vectors
 from intervale.functions.vectors import rounded as r
 from intervale.operators import boundaries, evaluate, network, pool, refine, stats
@@ -130,6 +130,9 @@ query("pool_pad", "SELECT video_id, s, e, cast(ord AS INT) AS ord FROM pad")(lam
 query("pool", "SELECT video_id, cast(uid AS INT) AS uid, cast(pool_ord AS INT) AS pool_ord, s, e, cast(mid AS INT) AS mid FROM pool")(lambda s, d: _pool(s, d).select("video_id", "uid", "pool_ord", "s", "e", "mid"))
 query("s_uniq", f"SELECT video_id, cast(uid AS INT) AS uid, {R('s_uniq')} FROM uniq")(lambda s, d: pool.uniqueness(_pool(s, d)).withColumn("s_uniq", r(F.col("s_uniq"))))
 query("s_conf", f"SELECT video_id, cast(uid AS INT) AS uid, {R('s_conf')} FROM conf")(lambda s, d: pool.alignment(_pool(s, d), T.frames(s, d), T.text_feats(s, d)).withColumn("s_conf", r(F.col("s_conf"))))
+query("s_density", f"SELECT video_id, cast(uid AS INT) AS uid, {R('var / greatest((e - s) / 3.0, 1e-9)', 's_density')}, {R('var / greatest((e - s + 1) / 3.0, 1e-9)', 's_density_closed')} FROM pool")(
+    lambda s, d: _pool(s, d).select("video_id", "uid", r(pool.density(C, Scores())).alias("s_density"), r(pool.density(C, Scores(density_closed_span=True))).alias("s_density_closed"))
+)
 query("sfs_score", f"SELECT video_id, cast(uid AS INT) AS uid, {R('s_density')}, {R('s_narr')}, {R('sfs')} FROM scored")(lambda s, d: _scored(s, d).select("video_id", "uid", *(r(F.col(c)).alias(c) for c in ("s_density", "s_narr", "sfs"))))
 query("minmax_norm", f"SELECT video_id, cast(uid AS INT) AS uid, {R('mm_u')}, {R('mm_c')} FROM scored")(lambda s, d: _scored(s, d).select("video_id", "uid", r(F.col("s_uniq_n")).alias("mm_u"), r(F.col("s_conf_n")).alias("mm_c")))
 query("greedy_select", f"SELECT video_id, cast(sel_rank AS INT) AS sel_rank, cast(uid AS INT) AS uid, s, e, {R('sfs')} FROM sel")(lambda s, d: pool.greedy(_scored(s, d).withColumn("sfs", F.round("sfs", 12))).withColumn("sfs", r(F.col("sfs"))))
@@ -246,6 +249,32 @@ query("densify_scatter", "SELECT doc_id, coalesce(quality, -1) AS quality FROM d
 query("scan_frames", "SELECT video_id, t, cast(len(h) AS INT) AS dim FROM frames")(lambda s, d: T.frames(s, d).select("video_id", "t", F.size("h").alias("dim")))
 query("scan_captions", "SELECT video_id, t, caption FROM caps")(lambda s, d: T.captions(s, d))
 query("scan_manifest", "SELECT video_id, category, round(duration, 6) AS duration FROM videos")(lambda s, d: files.checked_ids(T.videos(s, d)).select("video_id", "category", F.round("duration", 6).alias("duration")))
+
+@query(
+    "resolve_path",
+    "SELECT concat('v', k) AS video_id, CASE WHEN k % 6 = 0 THEN concat('rec/v', k, '.mp4') WHEN k % 5 < 2 THEN concat('root/v', k, '.mkv') WHEN k % 7 < 3 THEN concat('root/v', k, '.mov') END AS resolved FROM (SELECT c_custkey AS k FROM customer)",
+)
+def resolve_path(s, d):
+    """Every third customer has a recorded path; half of the recorded files, and some of the root's, are there."""
+    k = F.col("c_custkey")
+    ids = T.table(s, d, "customer").select("c_custkey", F.concat(F.lit("v"), k.cast("string")).alias("video_id"))
+    at = lambda cond, folder, suffix: F.when(cond, F.concat(F.lit(folder), "video_id", F.lit(suffix)))
+    there = F.array(at(k % 2 == 0, "rec/", ".mp4"), at(k % 5 < 2, "root/", ".mkv"), at(k % 7 < 3, "root/", ".mov"), at(k % 2 == 1, "root/", ".txt"))
+    listing = ids.select(F.explode(F.array_compact(there)).alias("file"))
+    return files.resolved_paths(ids.withColumn("path", at(k % 3 == 0, "rec/", ".mp4")), listing, "root")
+
+
+@query(
+    "scan_labels_json",
+    "SELECT concat(video_id, '-', event_id) AS video_id, cast(ord AS INT) AS ord, round(CASE WHEN ord = 0 THEN start ELSE end_ END, 6) AS start, round(CASE WHEN ord = 0 THEN end_ ELSE end_ + 1 END, 6) AS end_, CASE WHEN ord = 0 THEN sentence ELSE '' END AS sentence, round(end_ - start, 6) AS duration FROM pred, (VALUES (0), (1)) v(ord)",
+)
+def scan_labels_json(s, d):
+    """Each prediction written as a JSON object of one video with two intervals, then read."""
+    video = F.struct((F.col("end_") - F.col("start")).alias("duration"), F.array(F.array("start", "end_"), F.array("end_", F.col("end_") + 1)).alias("timestamps"), F.array("sentence", F.lit("")).alias("sentences"))
+    written = T.intervals(s, d, "pred").select(F.to_json(F.create_map(F.concat_ws("-", "video_id", "event_id"), video)).alias("value"))
+    return files.interval_map(written).select("video_id", "ord", *(F.round(c, 6).alias(c) for c in ("start", "end_")), "sentence", F.round("duration", 6).alias("duration"))
+
+
 query("synth_frames")(lambda s, d: files.synthetic_frames(s))
 
 

@@ -68,9 +68,12 @@ def sampled_ids(ids: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return ids.select("id").distinct().orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"), 256)).limit(n)
 
 
-def resolved_paths(videos: DataFrame, listing: DataFrame) -> DataFrame:
-    """video_id, resolved: the recorded path if it is listed, else the first of the usual suffixes that is."""
-    named = listing.select("file", F.regexp_extract("file", r"([^/]+)\.([^.]+)$", 1).alias("stem"), F.regexp_extract("file", r"([^/]+)\.([^.]+)$", 2).alias("suffix"))
+def resolved_paths(videos: DataFrame, listing: DataFrame, root: str | None = None) -> DataFrame:
+    """video_id, resolved: the recorded path if it is listed, else the first of the usual suffixes that is listed (in `root`, if given), else null."""
+    parts = F.regexp_extract("file", r"^(?:(.*)/)?[^/]+\.[^./]+$", 1)
+    named = listing.select("file", parts.alias("folder"), F.regexp_extract("file", r"([^/]+)\.([^./]+)$", 1).alias("stem"), F.regexp_extract("file", r"([^/]+)\.([^./]+)$", 2).alias("suffix"))
+    if root is not None:
+        named = named.where(F.col("folder") == root.rstrip("/"))
     rank = F.array_position(F.array(*map(F.lit, SUFFIXES)), F.col("suffix"))
     best = named.where(F.col("suffix").isin(*SUFFIXES)).groupBy("stem").agg(F.min_by("file", F.struct(rank, F.col("file"))).alias("found"))
     exact = listing.select(F.col("file").alias("path"), F.lit(True).alias("there")).distinct()

@@ -119,6 +119,15 @@ def test_files_round_trip(spark, tmp_path):
     assert sinks.two_places(0.125) == "0.12" and sinks.two_places(1.005) == "1.00"
 
 
+def test_paths_resolve_by_record_then_suffix(spark):
+    videos = spark.createDataFrame([("a", "rec/a.mp4"), ("b", "rec/b.mp4"), ("c", None), ("d", None), ("e.f", None), (None, None)], "video_id string, path string")
+    listing = spark.createDataFrame([("rec/a.mp4",), ("root/a.mkv",), ("root/b.mov",), ("root/b.webm",), ("rec/c.mp4",), ("root/d.txt",), ("root/e.f.avi",), (None,)], "file string")
+    found = lambda root=None: dict(files.resolved_paths(videos, listing, root).collect())
+    assert found("root/") == {"a": "rec/a.mp4", "b": "root/b.webm", "c": None, "d": None, "e.f": "root/e.f.avi", None: None}
+    assert found()["c"] == "rec/c.mp4"
+    assert files.resolved_paths(videos.limit(0), listing).count() == 0
+
+
 def test_settings():
     s = Settings.from_dict({"scores": {"weights": [0.25] * 4, "unknown": 1}, "ablate_dimensions": ["uniq", "conf"]})
     assert s.ablated().scores.weights == (0, 0.5, 0.5, 0) and s.candidates.min_span == 6
