@@ -155,6 +155,22 @@ def test_network_slopes_equal_differences():
         assert total[i] == pytest.approx((loss(flat + step)[1][0] - loss(flat - step)[1][0]) / 2e-6, abs=1e-6)
 
 
+@pytest.mark.parametrize("most", [1, 64])
+def test_training_deals_every_video_to_one_step_an_epoch(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(network, "MOST_STEPS", most)
+    frames = files.synthetic_frames(spark, n_videos=5, dim=8, segments=2, per_segment=8)
+    events = frames.select("video_id").distinct().select("video_id", F.lit(2).alias("s"), F.lit(9).alias("e"))
+    path = str(tmp_path / "tracks")
+    network.tracks(frames, events).write.partitionBy("part").parquet(path)
+    table = spark.read.parquet(path)
+    b = Boundary(epochs=2, batch=2, hidden=8)
+    one, again = network.train(table, b, 3), network.train(table, b, 3)
+    assert np.allclose(one[0], again[0]) and np.isfinite(one[1])
+    plain = table.where(F.col("part").isin([1, 2]))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [part" in plain
+    assert network.train(table.limit(0), b, 3) is None
+
+
 def test_generation_refines_to_labels(spark, tmp_path):
     made = files.synthetic_frames(spark, 6, 16, 4, 16)
     corpus = plan.Corpus(made.select("video_id", "t", "h"), made.select("video_id", "t", F.concat(F.lit("at "), F.col("t").cast("string")).alias("caption")), made.select("video_id", "t", "q"), made.select("video_id", F.lit("c").alias("category"), F.lit(None).cast("double").alias("duration")).distinct())
