@@ -235,6 +235,7 @@ def bootstrap(s, d):
 
 query("tokenize", f"SELECT item_id, list_count(w) AS n, w[1] AS first FROM (SELECT item_id, {_TOK('text')} AS w FROM benchmark)".replace("list_count(w)", "cast(len(w) AS BIGINT)"))(lambda s, d: T.table(s, d, "benchmark").select("item_id", text.tokens("text").alias("w")).select("item_id", F.size("w").cast("long").alias("n"), F.get("w", F.lit(0)).alias("first")))
 query("strip_text", "SELECT doc_id, regexp_replace(substring(text, 1, 40), '^\\s+|\\s+$', '', 'g') AS t FROM documents")(lambda s, d: T.table(s, d, "documents").select("doc_id", text.strip(F.substring("text", 1, 40)).alias("t")))
+query("strip_text_whole", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents")(lambda s, d: T.table(s, d, "documents").select("doc_id", text.strip("text").alias("t")))
 query("digest", "SELECT doc_id, sha256(text) AS sha256, sha1(concat('7:', doc_id)) AS sha1 FROM documents")(lambda s, d: T.table(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.sha1(F.concat(F.lit("7:"), F.col("doc_id").cast("string")).cast("binary")).alias("sha1")))
 query("json_roundtrip", "SELECT event_id, cast(json_extract(props, '$.k') AS BIGINT) AS k FROM events")(lambda s, d: T.table(s, d, "events").select("event_id", F.from_json(F.to_json(F.from_json("props", "struct<k:bigint>")), "struct<k:bigint>")["k"].alias("k")))
 query("parse_frame_rate", "SELECT o_orderkey AS id, round(coalesce(CASE WHEN k = 0 THEN 30000 / 1001.0 WHEN k = 1 THEN 25.0 WHEN k = 2 THEN 0.0 ELSE 0.0 END, 0)::DOUBLE, 6) AS fps FROM (SELECT o_orderkey, o_orderkey % 4 AS k FROM orders)")(lambda s, d: T.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), r(text.frame_rate(F.element_at(F.array(*map(F.lit, ("30000/1001", "25", "0/0", "x"))), (F.col("o_orderkey") % 4 + 1).cast("int")))).alias("fps")))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from intervale import __main__ as cli
+from intervale import catalog
 from intervale.config import Boundary, Calibration, Candidates, Settings
 from intervale.functions import text, vectors
 from intervale.operators import boundaries, evaluate, network, pool, refine, stats
@@ -213,3 +214,9 @@ def test_command_line_writes_labels_and_evaluates_them(spark, tmp_path):
     assert sorted(labels) == ["v0", "v1"] and all(1 <= len(v["timestamps"]) <= 3 and v["duration"] == 16 for v in labels.values())
     same = cli.run_evaluate(spark, cli.parser().parse_args(["evaluate", "--pred", report["labels"], "--ref", report["labels"], "--out", str(tmp_path / "eval")]))
     assert same["precision_70"] == same["recall_70"] == same["f1_30"] == same["coverage_50"] == same["token_f1"] == 1.0
+
+
+def test_whole_texts_are_stripped_at_both_ends(spark, tmp_path):
+    long = " \t\n" + "word " * 50 + "end"
+    spark.createDataFrame([(0, long + " \n"), (1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(catalog.QUERIES["strip_text_whole"](spark, str(tmp_path)), "doc_id", "t") == [(0, long.lstrip()), (1, "a")]
