@@ -290,7 +290,7 @@ def _two_rounds(s, d):
 @query("boundary_prob")
 def boundary_prob(s, d):
     b = Boundary(epochs=1)
-    learned = network.train(plan.Store(s).table(network.tracks(T.frames(s, d), _selected(s, d)), "tracks", ("part",)), b, b.seed)
+    learned = network.train(plan.Store(s).table(network.tracks(T.frames(s, d), _selected(s, d), b.batch), "tracks", ("part",)), b, b.seed)
     return network.probabilities(T.frames(s, d), learned[0], b)
 
 

@@ -220,3 +220,18 @@ def test_whole_texts_are_stripped_at_both_ends(spark, tmp_path):
     long = " \t\n" + "word " * 50 + "end"
     spark.createDataFrame([(0, long + " \n"), (1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(catalog.QUERIES["strip_text_whole"](spark, str(tmp_path)), "doc_id", "t") == [(0, long.lstrip()), (1, "a")]
+
+
+def test_steps_have_batch_videos_at_every_size(spark, tmp_path, monkeypatch):
+    counts = {p: 1 + p % 7 for p in range(900)}
+    steps = network.deal(counts, 32, [1, 0])
+    assert [sum(z - a for _, a, z in share) for share in steps[:-1]] == [32] * (len(steps) - 1) and len(steps) == -(-sum(counts.values()) // 32) > network.MOST_STEPS
+    assert sorted((p, i) for share in steps for p, a, z in share for i in range(a, z)) == [(p, i) for p in counts for i in range(counts[p])]
+    frames = files.synthetic_frames(spark, n_videos=5, dim=8, segments=2, per_segment=8)
+    events = frames.select("video_id").distinct().select("video_id", F.lit(2).alias("s"), F.lit(9).alias("e"))
+    monkeypatch.setattr(network, "DEALT", 2)
+    network.tracks(frames, events, 2).write.partitionBy("part").parquet(str(tmp_path / "tracks"))
+    table, b = spark.read.parquet(str(tmp_path / "tracks")), Boundary(epochs=1, batch=2, hidden=8)
+    many = network.train(table, b, 3)
+    monkeypatch.setattr(network, "MOST_STEPS", 1)
+    assert np.allclose(many[0], network.train(table, b, 3)[0])
