@@ -235,3 +235,25 @@ def test_steps_have_batch_videos_at_every_size(spark, tmp_path, monkeypatch):
     many = network.train(table, b, 3)
     monkeypatch.setattr(network, "MOST_STEPS", 1)
     assert np.allclose(many[0], network.train(table, b, 3)[0])
+
+
+def test_every_point_enters_the_choice_of_k(spark, monkeypatch):
+    digest = F.xxhash64(F.col("key").cast("string"), F.lit(42))
+    order = [r["key"] for r in spark.range(2200).select(F.col("id").alias("key")).orderBy(digest).collect()]
+    rng = np.random.default_rng(5)
+    data = [(key, [float(x) for x in np.eye(6)[i % 3 if i < 2000 else 3] + rng.normal(0, 0.02, 6)]) for i, key in enumerate(order)]
+    points = spark.createDataFrame(data, "key long, v array<double>")
+    monkeypatch.setattr(stats, "BLOCK", 600)
+    assert len(stats.clusters(points, (2, 4), None, 5)) == 4
+    some = points.limit(90).select("key", vectors.unit("v").alias("u")).cache()
+    x, book = np.array([r["u"] for r in some.collect()]), np.eye(6)[:3]
+    book[2] += book[1] * 0.9
+    monkeypatch.setattr(stats, "BLOCK", 20)
+    got = stats.mean_silhouettes(some, len(x), [book, np.eye(6)[:1]])
+    near = ((x[:, None] - book) ** 2).sum(2).argmin(1)
+    gap, wide = np.sqrt(((x[:, None] - x) ** 2).sum(2)), []
+    for i, k in enumerate(near):
+        own = gap[i][near == k].sum() / max((near == k).sum() - 1, 1)
+        other = min(gap[i][near == j].mean() for j in set(near) - {k})
+        wide.append((other - own) / max(own, other) if (near == k).sum() > 1 else 0.0)
+    assert got == [pytest.approx(np.mean(wide)), None]
