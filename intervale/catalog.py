@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale import testbed as T
-from intervale.config import Boundary, Calibration, Candidates, Scores, Settings
+from intervale.config import Boundary, Candidates, Scores, Settings
 from intervale.functions import text, vectors
 from intervale.functions.vectors import rounded as r
 from intervale.operators import boundaries, evaluate, network, pool, refine, stats
@@ -176,7 +176,7 @@ query("category_report", "SELECT category_id, count(*) AS n_videos, round(avg(k)
 query("assign_categories", "SELECT video_id, cast(dense_rank() OVER (ORDER BY category) - 1 AS INT) AS assigned_id FROM videos")(lambda s, d: stats.categories(T.videos(s, d)).select("video_id", "assigned_id"))
 query("nearest_centroid", "SELECT vec_id AS key, cast((SELECT arg_min(k, (round(list_distance(u, c) ** 2, 12), k)) FROM (SELECT vec_id AS k, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id < 8)) AS BIGINT) AS k_id FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-8)) AS u FROM embeddings)")(lambda s, d: stats.nearest_centroid(T.table(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v")), T.table(s, d, "embeddings").where("vec_id < 8").select(F.col("vec_id").alias("k_id"), vectors.doubles("embedding").alias("center"))))
 query("silhouette", f"""SELECT key, {R("coalesce((b - a) / greatest(a, b), 0)", 'width')} FROM (SELECT key, min(m) FILTER (c = c2) AS a, min(m) FILTER (c <> c2) AS b FROM (SELECT x.vec_id AS key, x.label AS c, y.label AS c2, avg(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[])) AS m FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id GROUP BY ALL) GROUP BY key)""")(lambda s, d: stats.silhouette(T.table(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("cluster"), vectors.doubles("embedding").alias("v"))).select("key", r(F.col("width")).alias("width")))
-query("kmeans_types")(lambda s, d: stats.kmeans(T.table(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v")), 4, 1))
+query("kmeans_types")(lambda s, d: stats.kmeans(T.table(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v")), 4))
 query("boundary_labels", "SELECT f.video_id, f.t, cast(max(CASE WHEN abs(f.t - x.s) <= 1 OR abs(f.t - x.e) <= 1 THEN 1 ELSE 0 END) AS INT) AS y FROM frames f JOIN sel x ON x.video_id = f.video_id GROUP BY ALL")(lambda s, d: refine.boundary_labels(T.frames(s, d), _selected(s, d), 1))
 query("relocalise", "SELECT video_id, cast(uid AS INT) AS uid, s, e, CASE WHEN new_e - new_s + 1 < 6 THEN s ELSE new_s END AS new_s, CASE WHEN new_e - new_s + 1 < 6 THEN e ELSE new_e END AS new_e FROM moved")(lambda s, d: refine.relocated(_pool(s, d), T.boundary_prob(s, d), 4, 6))
 query("soft_argmax", f"SELECT x.video_id, x.t AS x, {R('sum(greatest(p.b, 1e-6) ** 2 * p.t) / sum(greatest(p.b, 1e-6) ** 2)', 'pos')} FROM frames x JOIN prob p ON p.video_id = x.video_id AND abs(p.t - x.t) <= 4 GROUP BY ALL")(lambda s, d: refine.soft_argmax(T.frames(s, d).select("video_id", F.col("t").alias("x")), T.boundary_prob(s, d), 4, 0.5).withColumn("pos", r(F.col("pos"))))
@@ -283,16 +283,16 @@ def _corpus(s, d):
     return plan.Corpus(T.frames(s, d), T.captions(s, d), T.text_feats(s, d), T.videos(s, d).drop("category_id"))
 
 
-def _two_rounds(s, d):
-    return plan.generate(_corpus(s, d), Settings(boundary=Boundary(max_iters=2, epochs=1), calibration=Calibration(n_event_types=4, use_manifest_categories=True)))
+def _generated(s, d):
+    return plan.generate(_corpus(s, d), Settings())
 
 
 @query("boundary_prob")
 def boundary_prob(s, d):
-    b = Boundary(epochs=1)
+    b = Boundary()
     learned = network.train(plan.Store(s).table(network.tracks(T.frames(s, d), _selected(s, d), b.batch), "tracks", ("part",)), b, b.seed)
     return network.probabilities(T.frames(s, d), learned[0], b)
 
 
-query("refine_round")(lambda s, d: _two_rounds(s, d).selected.select("video_id", "sel_rank", "uid", "s", "e", "type_id", "caption"))
-query("round_history")(lambda s, d: s.createDataFrame(_two_rounds(s, d).history, "round int, train_loss double, jaccard double, shift double, n_events long, converged boolean"))
+query("refine_round")(lambda s, d: _generated(s, d).selected.select("video_id", "sel_rank", "uid", "s", "e", "type_id", "caption"))
+query("round_history")(lambda s, d: s.createDataFrame(_generated(s, d).history, "round int, train_loss double, jaccard double, shift double, n_events long, converged boolean"))

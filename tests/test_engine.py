@@ -257,3 +257,10 @@ def test_every_point_enters_the_choice_of_k(spark, monkeypatch):
         other = min(gap[i][near == j].mean() for j in set(near) - {k})
         wide.append((other - own) / max(own, other) if (near == k).sum() > 1 else 0.0)
     assert got == [pytest.approx(np.mean(wide)), None]
+
+
+def test_generating_queries_run_the_default_settings(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(plan, "generate", lambda corpus, settings: seen.append(settings))
+    catalog._generated(spark, "/root/testdata/sf0.001")
+    assert seen == [Settings()]
