@@ -264,3 +264,11 @@ def test_generating_queries_run_the_default_settings(spark, monkeypatch):
     monkeypatch.setattr(plan, "generate", lambda corpus, settings: seen.append(settings))
     catalog._generated(spark, "/root/testdata/sf0.001")
     assert seen == [Settings()]
+
+
+def test_whole_queries_read_every_document_and_whole_texts(spark, tmp_path):
+    spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), F.lit(0).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(250).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("long\n"), F.lit(40)), F.col("id").cast("string")).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["scan_captions_whole"](spark, str(tmp_path)).collect()
+    assert {(r["video_id"], r["t"]): r["caption"] for r in got} == {(f"v{i // 50}", i % 50): "long " * 40 + str(i % 250) for i in range(300)}
+    assert "substring" not in catalog.ORACLES["scan_captions_whole"] and catalog.ORACLES["scan_captions"].count("substring(text, 1, 60)") == 1
