@@ -27,8 +27,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate group."""
-    return _without(docs, near_dedup.near_duplicates(docs).where("not kept"))
+    """The first document of each near-duplicate group, one row of those with its doc_id and text; null doc_ids stay."""
+    left = _without(docs, near_dedup.near_duplicates(docs).where("not kept"))
+    some = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return some.union(left.where("doc_id is null"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

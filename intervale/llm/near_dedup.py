@@ -101,8 +101,12 @@ def _confirm(over: int, under: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 some = batch.slice(i, 1024)
-                a, b = some.column(0).to_pylist(), some.column(1).to_pylist()
-                new = [k for k, x in enumerate(b) if x not in last and (k == 0 or b[k - 1] != x)]
+                a, b = some.column(0).to_pylist(), list(zip(some.column(1).to_pylist(), some.column(3).to_pylist(), strict=True))
+                first: dict = {}
+                for k, x in enumerate(b):  # rows that share an id may have several texts
+                    if x not in last:
+                        first.setdefault(x, k)
+                new = list(first.values())
                 last |= dict(zip((b[k] for k in new), shingle_sets(some.column(3).take(pa.array(new, pa.int64()))), strict=True))
                 keep = []
                 for k, s in enumerate(shingle_sets(some.column(2))):
@@ -113,7 +117,7 @@ def _confirm(over: int, under: int):
                     if under * both >= over * (len(s) + len(t) - both):
                         keep.append(k)
                 last = {b[-1]: last[b[-1]]} if b else last
-                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k][0] for k in keep], pa.int64())], ["a", "b"])
 
     return confirm
 

@@ -246,3 +246,18 @@ def test_pipeline_stages(spark):
     hit = {r["doc_id"] for r in decontaminate.contaminated(start, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert three == ids - hit
     assert stage[names[4]](spark, start, sf).count() == 60
+
+
+def test_texts_under_one_doc_id_are_compared_each(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    other = prose(80)
+    rows = [(1, 2, BASE, other), (1, 2, BASE, BASE + " tail"), (3, 2, BASE, BASE + " tail"), (3, 2, BASE, other)]
+    cols = list(zip(*rows, strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3])], ["a", "b", "text_a", "text_b"])
+    found = [x.to_pylist() for x in near_dedup._confirm(75, 100)([batch])]
+    assert sum(found, []) == [{"a": 1, "b": 2}, {"a": 3, "b": 2}]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(5, BASE), (5, BASE), (6, BASE + " tail"), (7, other)]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert got(corpus_pipeline.one_of_each(spark, docs, ""), "doc_id") == [(5,), (7,)]
