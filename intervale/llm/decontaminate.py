@@ -81,7 +81,8 @@ class Partitions:
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, sent: int = SENT_SHINGLES) -> DataFrame:
     """doc_id, item_id, n_shared, n_item of each pair where 100 * n_shared >= percent * n_item (distinct five-word shingles).
 
-    Null, empty and blank texts match nothing; null ids pass through as null; repeated rows give repeated
+    An item of one to four words is one shingle, the whole of it: it matches documents of exactly those words only, as in the
+    SQL, and not inside longer ones. Null, empty and blank texts match nothing; null ids pass through as null; repeated rows give repeated
     pairs (a pair for each row of `docs` and of `items`); empty tables give none; other columns are left aside.
     """
     spark = docs.sparkSession
