@@ -22,7 +22,7 @@ FLOORS = {"log_words": 0.5, "word_length": 0.25, "log_symbols": 0.02, "log_dup_l
 SCALE, MOST = 256, 64
 CORE_SHARE = 0.75
 STEPS = 4
-#: Groups with fewer rows are pooled by language, then over the corpus.
+#: Groups with fewer rows are judged by all rows of their language, and where these are too few by all of the corpus.
 LEAST_ROWS = 50
 #: With five degrees of freedom: chi-square quantiles 0.975 (reweighting) and 1 - 1e-6 (rejection), and the factors that
 #: make the covariance of the nearest 0.75 and of the rows under the 0.975 quantile consistent for normal data.
@@ -89,15 +89,17 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 
 def _pooled(rows: DataFrame) -> DataFrame:
-    """`rows` with `grp`: the row's language and source, or a pool where base-passing rows are too few."""
+    """`rows` with `grp`, whose estimate judges the row: its language and source, its language or the corpus by base-passing rows;
+    and `into`, the groups whose estimates it enters."""
     own = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
     lang = F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})
     keyed = rows.withColumn("_own", own).withColumn("_lang", lang)
     counts = keyed.where("not base_failed").groupBy("_own", "_lang").count()
-    pool = counts.where(F.col("count") < LEAST_ROWS).groupBy("_lang").agg(F.sum("count").alias("pooled"))
-    plan = counts.join(pool, "_lang", "left").select(
-        F.col("_own").alias("o"), F.when(F.col("count") >= LEAST_ROWS, F.col("_own")).when(F.col("pooled") >= LEAST_ROWS, F.col("_lang")).otherwise(F.lit("all")).alias("grp")
-    )
+    langs = counts.groupBy("_lang").agg(F.sum("count").alias("spoken"), F.min("count").alias("least"))
+    rare = langs.agg((F.min("spoken") < LEAST_ROWS).alias("rare"))  # one row
+    large, common = F.col("count") >= LEAST_ROWS, F.col("spoken") >= LEAST_ROWS
+    into = F.array_compact(F.array(F.when(large, F.col("_own")), F.when(common & (F.col("least") < LEAST_ROWS), F.col("_lang")), F.when(F.col("rare"), F.lit("all"))))
+    plan = counts.join(langs, "_lang").join(F.broadcast(rare)).select(F.col("_own").alias("o"), F.when(large, F.col("_own")).when(common, F.col("_lang")).otherwise(F.lit("all")).alias("grp"), into.alias("into"))
     return keyed.join(plan, F.col("_own") == F.col("o"), "left").drop("o", "_own", "_lang").withColumn("grp", F.coalesce("grp", F.lit("none")))
 
 
@@ -176,7 +178,7 @@ def quality_rules(docs: DataFrame, far: float = FAR) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "rules")
     rows = scratch.table(vectors(base_statistics(docs)), "statistics")
     rows = scratch.table(_pooled(rows), "rows")
-    estimates, groups = robust_estimates(rows.where("not base_failed"), scratch)
+    estimates, groups = robust_estimates(rows.where("not base_failed").select(F.explode("into").alias("grp"), *_X), scratch)
     judged = rows.join(_sent(estimates, groups), "grp", "left").withColumn("distance", _distance())
     kept = (~F.col("base_failed")) & F.coalesce(F.col("distance") <= far, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

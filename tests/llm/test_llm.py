@@ -261,3 +261,10 @@ def test_texts_under_one_doc_id_are_compared_each(spark):
     assert sum(found, []) == [{"a": 1, "b": 2}, {"a": 3, "b": 2}]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(5, BASE), (5, BASE), (6, BASE + " tail"), (7, other)]], "doc_id long, text string, lang string, source string, n_chars long")
     assert got(corpus_pipeline.one_of_each(spark, docs, ""), "doc_id") == [(5,), (7,)]
+
+
+def test_small_groups_are_judged_by_their_language_or_the_corpus(spark):
+    odd = lambda: " ".join(w + "%%%" for w in prose(90).split())
+    rows = [(i, prose(100), "en", "a") for i in range(80)] + [(100 + i, odd(), "en", "b") for i in range(3)] + [(200, odd(), "xx", "c"), (201, prose(100), "en", "d")]
+    kept = dict(got(outliers.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), "doc_id", "kept"))
+    assert not any(kept[i] for i in (100, 101, 102, 200)) and all(kept[i] for i in (*range(80), 201))
