@@ -17,19 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervale.llm.word_codes import WordCodes
+from intervale.llm.word_codes import WordCodes, byte_symbols
 
 BATCH_TEXTS = 256
 _NONE = np.int64(1 << 40)
 
 
-def byte_symbols() -> list[str]:
-    """The printable stand-in of each byte: itself where Latin-1 prints it, else the next code point from 256."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
-
-
 class Merges:
     """A byte-level vocabulary with its merges as sorted keys."""
 
@@ -57,10 +50,10 @@ class Merges:
         self.at = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.decimal = [str(i) for i in range(size)]
-        self.words = WordCodes(lambda words: [x.tobytes() for x in self.encode_words(words)], self.special)
+        self.words = WordCodes(self.encode_words, self.special)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Token ids of each word."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words in order, and the number of ids of each."""
         raw = [w.encode() for w in words]
         size = np.array([len(r) for r in raw], np.int64)
         symbol = self.first[np.frombuffer(b"".join(raw), np.uint8)]
@@ -95,14 +88,13 @@ class Merges:
             keep[places + 1] = False
             symbol, word = symbol[keep], word[keep]
         if not done:
-            return [np.zeros(0, np.uint32)] * len(raw)
+            return np.zeros(0, np.uint32), size
         word, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(word, kind="stable")
-        bounds = np.searchsorted(word[order], np.arange(1, len(raw)))
-        return np.split(symbol[order].astype("<u4"), bounds)
+        return symbol[order].astype(np.uint32), np.bincount(word, minlength=len(raw))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(c, "<u4") for c in self.words(texts)]
+        return list(self.words(texts))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""

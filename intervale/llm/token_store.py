@@ -126,17 +126,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         part, attempt = context.partitionId(), context.taskAttemptId()
         fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
-        end = np.array([end_id], "<u4").tobytes()
-        held: list[bytes] = []
+        end = np.array([end_id], np.uint32)
+        held: list[np.ndarray] = []
         names: list[int | None] = []
         size, seq = 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, names, size, seq
-            ends = np.cumsum([len(x) // 4 for x in held])
+            ends = np.cumsum([len(x) + 1 for x in held])
             path = f"{base}/part-{part:06d}-{seq:06d}-{attempt}.dact"
             with fs.open_output_stream(path) as out:
-                out.write(pack(np.frombuffer(b"".join(held), "<u4"), names, ends))
+                out.write(pack(np.concatenate([x for ids in held for x in (ids, end)]), names, ends))
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "docs": pa.array([len(names)], pa.int64()), "tokens": pa.array([int(ends[-1])], pa.int64())})
             held, names, size, seq = [], [], 0, seq + 1
             return row
@@ -146,9 +146,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
                 some = batch.slice(i, BATCH_TEXTS)
                 ids, texts = some.column(0).to_pylist(), some.column(1).to_pylist()
                 for d, code in zip(ids, encode([t or "" for t in texts]), strict=True):
-                    held.append(code + end)
+                    held.append(code)
                     names.append(d)
-                    size += len(held[-1]) // 4
+                    size += len(code) + 1
                     if size >= shard_tokens:
                         yield flush()
         if names:
