@@ -5,15 +5,19 @@ window minimiser, the leftmost of equal hashes), so equal strings meet at equal
 
 1. every document gives its anchors: position, hash of the gram, hash of the whole context (all bytes of any string that
    has this anchor);
-2. anchors whose gram occurs once are dropped; of equal contexts one stays, with its count (two or more: every string in it repeats);
+2. anchors whose gram occurs once are dropped; contexts of equal hash become one with its count (with two or more, every
+   string in it repeats);
 3. the distinct contexts of one gram are laid in one text. Its BWT is searched breadth-first by backward extension: the
    intervals of all strings of length l give the common prefixes of value l, by increasing l, and stop at LENGTH; the
    boundaries still unset then are those of suffixes that share LENGTH bytes or more. Strings of one run at
    the same offset from their anchors repeat.
 4. the strings found become spans of their documents, and the spans' union is cut.
 
-Grams with more than HOT contexts take another exact way in step 3, which needs no task to hold them together:
-each context's strings are hashed and counted by key.
+A gram with more than GROUP contexts is halved by the strings' distances from the anchor: all strings of a half have
+a longer part in common, by which contexts are told apart; a context alone with its part has no repeat there. Groups still too large
+are halved again. At a single distance the strings of a group are equal, so that it may be dealt to texts as
+one likes. Every group goes through the transform, and none is larger than GROUP contexts. Keys that hold
+more than a small share of all rows are joined by a broadcast of those keys (`skew`), others by a shuffle.
 """
 
 from __future__ import annotations
@@ -26,15 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervale.llm.flat import mix, pieces, powers, texts_of
+from intervale.llm.flat import PIECE, mix, pieces, powers, texts_of
 from intervale.llm.scratch import Scratch
+from intervale.llm.skew import counted_join
 
 LENGTH, GRAM = 200, 100
-#: More contexts of one gram than this are counted by key instead of being laid in one text.
-HOT = 4096
+#: Most contexts of one group in a text.
+GROUP = 4096
 #: Bytes of contexts in one transform, about.
 TEXT_BYTES = 1 << 18
 _U = np.uint64
+#: Low bits of a gram's hash that give way to its place in the piece, which breaks ties: fixed, as equal strings choose alike in any piece.
+_PLACE_BITS = 22
 _BYTE = np.random.Generator(np.random.PCG64(99)).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -48,7 +55,7 @@ def anchors(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[flat] * up[:n], out=sums[1:])
     h = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
-    bits = _U(max(1, int(n).bit_length()))
+    bits = _U(_PLACE_BITS)
     ranked = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
     blocks = -(-len(ranked) // reach) + 1
     padded = np.full(blocks * reach, np.iinfo(np.uint64).max, np.uint64)
@@ -68,6 +75,15 @@ def anchors(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return row, at - offsets[row], h[at], context
 
 
+def long_anchors(flat: np.ndarray, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Position, gram hash and context hash of one long row's anchors, by pieces that see `length` bytes and more around them."""
+    for a in range(0, len(flat), piece):
+        low, high = max(0, a - 2 * length), min(len(flat), a + piece + 2 * length)
+        _, pos, h, c = anchors(flat[low:high], np.array([0, high - low]), length, gram)
+        mine = (pos >= a - low) & (pos < a - low + piece)
+        yield pos[mine] + low, h[mine], c[mine]
+
+
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts `key`, and the dense rank of every entry."""
     order = np.argsort(key)
@@ -173,13 +189,20 @@ def repeated_offsets(contexts: list[bytes], places: np.ndarray, groups: np.ndarr
 
 def _anchor_rows(length: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(row: np.ndarray, pos: np.ndarray, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            take = pa.array(row)
+            return pa.RecordBatch.from_arrays([ids.take(take), marks.take(take), pa.array(pos.astype(np.int32)), pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], ["doc_id", "mark", "pos", "h", "c"])
+
         for batch in batches:
             ids, marks = batch.column(0), batch.column(1)
             flat, offsets = texts_of(batch.column(2))
             for i, j, part, at in pieces(flat, offsets):
-                row, pos, h, c = anchors(part, at, length, gram)
-                take = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([ids.take(take), marks.take(take), pa.array(pos.astype(np.int32)), pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], ["doc_id", "mark", "pos", "h", "c"])
+                if len(part) > PIECE + 2 * length and j == i + 1:
+                    for pos, h, c in long_anchors(part, length, gram):
+                        yield out(np.full(len(pos), i), pos, h, c)
+                else:
+                    row, pos, h, c = anchors(part, at, length, gram)
+                    yield out(row + i, pos, h, c)
 
     return rows
 
@@ -189,52 +212,83 @@ def _context_rows(length: int, gram: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c, places, contexts = [], [], [], []
+            h, c, k, places, contexts = [], [], [], [], []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode()
                 for w in wanted:
                     low = max(0, w["pos"] - (length - gram))
                     h.append(w["h"])
                     c.append(w["c"])
+                    k.append(w["k"])
                     places.append(w["pos"] - low)
                     contexts.append(raw[low : w["pos"] + length])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(places, pa.int32()), pa.array(contexts, pa.binary())], ["h", "c", "place", "context"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (h, c, k)), pa.array(places, pa.int32()), pa.array(contexts, pa.binary())], ["h", "c", "k", "place", "context"])
+
+    return rows
+
+
+def halves(low: int, high: int) -> list[tuple[int, int]]:
+    """Distances low..high in two ranges."""
+    middle = (low + high) // 2
+    return [(low, middle), (middle + 1, high)]
+
+
+def _half_rows(length: int):
+    """Groups' contexts to those of both halves of their distances, cut to the strings there, with a key of the part in common."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for _, low, high, h, c, place, context in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                for a, b in halves(low, high):
+                    near, far = max(a, place + length - len(context)), min(b, place)  # distances whose strings the context has
+                    if near <= far:
+                        start = place - far
+                        common = hashlib.blake2b(context[place - a : place - b + length], digest_size=8, key=f"{h},{a},{b}".encode()).digest()
+                        out.append((int.from_bytes(common, "little", signed=True), a, b, h, c, far, context[start : place - near + length]))
+            cols = list(zip(*out, strict=True)) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, _GROUPED.types, strict=True)], schema=_GROUPED)
 
     return rows
 
 
+_GROUPED = pa.schema([("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("place", pa.int32()), ("context", pa.binary())])
+_GROUPED_DDL = "key long, low int, high int, h long, c long, place int, context binary"
+
+
 def likely(rows: list[tuple], length: int, gram: int) -> list[tuple]:
-    """Contexts (h, c, place, bytes) that share with another of their gram the part common to all strings of a fifth of the
+    """Contexts (key, h, c, place, bytes) that share with another of their key the part common to all strings of a fifth of the
     distances from the anchor, cut to the strings at such distances."""
     reach = length - gram
     step = max(1, reach // 5)
     spans = [(low, min(low + step, reach)) for low in range(0, max(1, reach), step)]
     seen: dict[tuple, int] = {}
     cores = []
-    for h, _, place, context in rows:
-        own = [(h, low, context[place - low : place - high + length]) if place >= low and place - high + length <= len(context) else None for low, high in spans]
+    for key, _, _, place, context in rows:
+        # a cut context has the common part of a fifth if it has any of its strings
+        own = [(key, low, context[place - low : place - high + length]) if place >= low and place - high + length <= len(context) else None for low, high in spans]
         cores.append(own)
         for x in own:
             if x:
                 seen[x] = seen.get(x, 0) + 1
     out = []
-    for (h, c, place, context), own in zip(rows, cores, strict=True):
+    for (key, h, c, place, context), own in zip(rows, cores, strict=True):
         hit = [span for span, x in zip(spans, own, strict=True) if x and seen[x] > 1]
         if hit:
             start = max(0, place - hit[-1][1])
-            out.append((h, c, place - start, context[start : place - hit[0][0] + length]))
+            out.append((key, h, c, place - start, context[start : place - hit[0][0] + length]))
     return out
 
 
 def _transform_rows(length: int, gram: int):
-    """Contexts, those of a gram together, to their repeated offsets."""
+    """Contexts, those of a key together, to their repeated offsets."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         rows = likely(rows, length, gram)
-        h, c, places, contexts = zip(*rows, strict=True) if rows else ((),) * 4
+        key, h, c, places, contexts = zip(*rows, strict=True) if rows else ((),) * 5
         if not rows:
             return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())], ["h", "c", "least", "most"])
-        least, most = repeated_offsets(list(contexts), np.array(places, np.int64), np.array(h, np.int64), length)
+        least, most = repeated_offsets(list(contexts), np.array(places, np.int64), np.array(key, np.int64), length)
         keep = np.flatnonzero(most >= 0)
         return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)[keep]) for x in (h, c)] + [pa.array(x[keep].astype(np.int32)) for x in (least, most)], ["h", "c", "least", "most"])
 
@@ -247,30 +301,13 @@ def _transform_rows(length: int, gram: int):
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3]) + 1
+                size += len(row[4]) + 1
         if held:
             yield solve(held)
 
     return rows
 
 
-def _string_rows(length: int):
-    """Contexts to the hash of every string of theirs, by its distance back from the anchor."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, c, place, context in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                raw = np.frombuffer(context, np.uint8)
-                up, down = powers(len(raw) + 1)
-                sums = np.zeros(len(raw) + 1, np.uint64)
-                np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-                start = np.arange(min(place, len(raw) - length) + 1)
-                s = mix((sums[start + length] - sums[start]) * down[start]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(s), pa.int64()), pa.array([c] * len(s), pa.int64()), pa.array((place - start).astype(np.int32)), pa.array(s)], ["h", "c", "back", "s"])
-
-    return rows
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -281,36 +318,59 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def small_groups(contexts: DataFrame, scratch: Scratch, length: int, gram: int, most: int) -> DataFrame:
+    """key, h, c, place, context of groups of about `most` contexts at most in which any two equal strings at one distance meet.
+
+    `contexts`: h, c, k (contexts of the gram), place, context.
+    """
+    ready = contexts.where(F.col("k") <= most).select(F.col("h").alias("key"), "h", "c", "place", "context")
+    open_ = contexts.where(F.col("k") > most).select(F.col("h").alias("key"), F.lit(0).alias("low"), F.lit(length - gram).alias("high"), "h", "c", "place", "context")
+    step, width = 0, length - gram + 1
+    while width > 1 and not open_.isEmpty():
+        cut = scratch.table(open_.mapInArrow(_half_rows(length), _GROUPED_DDL), f"half{step}")
+        n = scratch.table(cut.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), f"half{step}-counts")
+        sized = scratch.table(counted_join(cut, n, ["key"], "k"), f"half{step}-sized")
+        scratch.drop(f"half{step}")
+        ready = ready.unionByName(sized.where(F.col("k") <= most).select("key", "h", "c", "place", "context"))
+        # at one distance all strings of a group are equal: any texts of it will do, each with the least context beside its own
+        single = F.col("low") == F.col("high")
+        alone = sized.where((F.col("k") > most) & single).withColumn("texts", F.ceil(2 * F.col("k") / most))
+        one = alone.groupBy("key", "texts").agg(F.min(F.struct("c", "h", "place", "context")).alias("x"))
+        beside = one.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("texts") - 1)).alias("text"), "x.h", "x.c", "x.place", "x.context")
+        dealt = alone.withColumn("text", F.pmod(F.xxhash64("c"), "texts")).select(*beside.columns).unionByName(beside)
+        ready = ready.unionByName(dealt.select(F.xxhash64("key", "text").alias("key"), "h", "c", "place", "context"))
+        open_ = sized.where((F.col("k") > most) & ~single).drop("k")
+        width, step = (width + 1) // 2, step + 1
+    return ready
+
+
+def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, mark (xxhash64 of the text) and spans (start, end in bytes; unordered, overlapping) of rows with repeats.
 
     `docs`: doc_id, mark, text. Rows alike in doc_id and text have the same spans.
     """
     reach = length - gram
     all_anchors = scratch.table(docs.select("doc_id", "mark", "text").mapInArrow(_anchor_rows(length, gram), "doc_id long, mark long, pos int, h long, c long"), "anchors")
-    again = all_anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    met = scratch.table(all_anchors.join(again, "h", "left_semi"), "met")
-    scratch.drop("anchors")
+    again = scratch.table(all_anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    met = scratch.table(counted_join(all_anchors, again, ["h"], "n").drop("n"), "met")
+    scratch.drop("anchors", "again")
     groups = scratch.table(met.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "pos")).alias("one")), "groups")
-    several = groups.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    wanted = groups.join(several, "h").select("h", "c", "k", "one.*")
-    asked = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "c", "pos")).alias("wanted"))
+    several = scratch.table(groups.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "several")
+    wanted = counted_join(groups.select("h", "c", "one"), several, ["h"], "k").select("h", "c", "k", "one.*")
+    asked = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "c", "k", "pos")).alias("wanted"))
     texts = docs.alias("d").join(asked.alias("a"), F.expr("d.mark = a.mark and d.doc_id <=> a.doc_id")).select("d.text", "a.wanted")
-    contexts = scratch.table(texts.mapInArrow(_context_rows(length, gram), "h long, c long, place int, context binary").dropDuplicates(["h", "c"]), "contexts")
-    crowded = scratch.table(several.where(F.col("k") > hot).select("h"), "crowded")
+    contexts = scratch.table(texts.mapInArrow(_context_rows(length, gram), "h long, c long, k long, place int, context binary").dropDuplicates(["h", "c"]), "contexts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    usual = contexts.join(crowded, "h", "left_anti").repartition(parts, "h").sortWithinPartitions("h", "c")
-    found = usual.mapInArrow(_transform_rows(length, gram), "h long, c long, least int, most int")
-    strings = contexts.join(crowded, "h", "left_semi").mapInArrow(_string_rows(length), "h long, c long, back int, s long")
-    twice = strings.groupBy("h", "back", "s").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = strings.join(twice, ["h", "back", "s"], "left_semi").groupBy("h", "c").agg(F.min("back").alias("least"), F.max("back").alias("most"))
+    dealt = small_groups(contexts, scratch, length, gram, group).repartition(parts, "key").sortWithinPartitions("key", "c")
+    found = dealt.mapInArrow(_transform_rows(length, gram), "h long, c long, least int, most int")
     whole = groups.where("n > 1").select("h", "c", F.lit(0).alias("least"), F.lit(reach).alias("most"))
-    offsets = scratch.table(found.unionByName(counted).unionByName(whole).groupBy("h", "c").agg(F.min("least").alias("least"), F.max("most").alias("most")), "offsets")
-    spans = met.join(offsets, ["h", "c"]).select("doc_id", "mark", F.struct((F.col("pos") - F.col("most")).alias("s"), (F.col("pos") - F.col("least") + length).alias("e")).alias("span"))
+    offsets = scratch.table(found.unionByName(whole).groupBy("h", "c").agg(F.min("least").alias("least"), F.max("most").alias("most")), "offsets")
+    placed = scratch.table(offsets.join(groups.select("h", "c", "n"), ["h", "c"]), "placed")
+    spans = counted_join(met, placed, ["h", "c"], "n").select("doc_id", "mark", F.struct((F.col("pos") - F.col("most")).alias("s"), (F.col("pos") - F.col("least") + length).alias("e")).alias("span"))
     return spans.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans"))
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: list[str] | None = None, text: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, keep: list[str] | None = None, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with `text` the remaining text too.
 
     A byte goes if a string of `length` bytes that covers it also starts elsewhere in `docs`. Null texts are
@@ -322,7 +382,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     extra = [c for c in keep or [] if c not in ("doc_id", "text")]
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("mark"), body.alias("text"), *extra)
-    spans = scratch.table(repeat_spans(rows, scratch, length, gram, hot), "spans")
+    spans = scratch.table(repeat_spans(rows, scratch, length, gram, group), "spans")
     joined = rows.alias("r").join(spans.alias("s"), F.expr("r.mark = s.mark and r.doc_id <=> s.doc_id"), "left").select("r.doc_id", "r.text", "s.spans", *(f"r.`{c}`" for c in extra))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,8 +114,8 @@ def test_decontamination(spark, docs, none, sent):
     assert decontaminate.contaminated(none, bench, sent=sent).count() == 0 == decontaminate.contaminated(docs, bench.limit(0)).count()
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_repeats(docs, none, hot):
+@pytest.mark.parametrize("group", [4096, 2])
+def test_repeats(docs, none, group):
     raw = [(t or "").encode() for t in TEXTS]
     for length, gram in ((200, 100), (40, 20)):
         seen = defaultdict(list)
@@ -127,10 +127,39 @@ def test_repeats(docs, none, hot):
             for k, p in places if len(places) > 1 else ():
                 gone[k][p : p + length] = b"\1" * length
         want = [(i, len(r), sum(g), len(re.findall(b"\1+", bytes(g))), hashlib.sha256(bytes(b for b, x in zip(r, g, strict=True) if not x)).hexdigest()) for i, r, g in zip(IDS, raw, gone, strict=True)]
-        assert got(repeats.cut_repeats(docs, length, gram, hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+        assert got(repeats.cut_repeats(docs, length, gram, group), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
     assert repeats.cut_repeats(none).count() == 0
 
 
+def removed(raw, length):
+    """Spans that strings with a second start cover, by brute force."""
+    seen = defaultdict(list)
+    for k, r in enumerate(raw):
+        for p in range(len(r) - length + 1):
+            seen[r[p : p + length]].append((k, p))
+    gone = [bytearray(len(r)) for r in raw]
+    for places in seen.values():
+        for k, p in places if len(places) > 1 else ():
+            gone[k][p : p + length] = b"\1" * length
+    return [[m.span() for m in re.finditer(b"\1+", bytes(g))] for g in gone]
+
+
+def test_one_passage_in_every_document(spark):
+    """A gram's contexts are halved by distance down to one, as with a passage that all documents share beside others."""
+    passage, r = prose(30), random.Random(3)
+    texts = ["".join(r.choice("ab") for _ in range(r.randrange(40))) + passage[r.randrange(8) :] + "".join(r.choice("ab") for _ in range(r.randrange(40))) for _ in range(60)]
+    want = {i: (sum(b - a for a, b in x), len(x)) for i, x in enumerate(removed([t.encode() for t in texts], 60))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in repeats.cut_repeats(df, 60, 30, 5).collect()} == want
+
+
+def test_long_rows_give_the_same_anchors():
+    flat = np.frombuffer((prose(4000) + prose(30) * 20).encode(), np.uint8)
+    _, pos, h, c = repeats.anchors(flat, np.array([0, len(flat)]))
+    cut = [np.concatenate(x) for x in zip(*repeats.long_anchors(flat, piece=1000), strict=True)]
+    assert all((a == b).all() for a, b in zip((pos, h, c), cut, strict=True))
+
+
 def test_quality_rules(docs, none):
     def stats(t):
         t = t or ""
