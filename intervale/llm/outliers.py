@@ -1,9 +1,14 @@
 """Robust multivariate outliers among documents' text statistics: minimum covariance determinant per language and source.
 
-DataFrame functions only. Each document's statistics become a vector of fixed-point numbers; for each (lang, source) concentration
-steps look for the h rows whose covariance has the least determinant, starting from the rows nearest to
-the coordinatewise medians; rows beyond a chi-square bound of the reweighted estimate are rejected. Sums are exact
-integers, so results don't hang on the order of rows.
+DataFrame functions only. Each document's statistics become a vector of fixed-point numbers; equal vectors of a (lang, source)
+become one with its count. For each group the h = CORE_SHARE of the rows whose regularised covariance has the least determinant
+are sought by concentration: from STARTS starts (the coordinatewise medians and quartiles, and sets of six vectors by hash) each step takes
+the exactly h nearest rows by the estimate before; after FIRST_STEPS steps the BEST starts of least determinant go on until the
+determinant falls no more, and the least of all is reweighted. Rows beyond a chi-square bound of that are rejected. Sums
+are exact integers, so results don't hang on the order of rows.
+
+The h-th distance is found by bins, finer bins of the bin it falls in, and an order of the rows of one finer bin, so that no
+task sees more of a group than that.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from intervale.llm.scratch import Scratch
+from intervale.llm.skew import counted_join
 
 SPACE = "[\\x20\\x09-\\x0D]"
 #: Coordinates, with the standard deviation that is added to each estimate's own (a regularised determinant: a constant
@@ -21,7 +27,10 @@ FLOORS = {"log_words": 0.5, "word_length": 0.25, "log_symbols": 0.02, "log_dup_l
 #: Fixed point: 1 / SCALE. No coordinate counts for more than MOST, so that sums of products of 3e10 rows fit a long.
 SCALE, MOST = 256, 64
 CORE_SHARE = 0.75
-STEPS = 4
+#: Starts of each group, steps of all of them, and how many of them go on.
+STARTS, FIRST_STEPS, BEST = 8, 2, 3
+#: A determinant falls if its logarithm does by more.
+FALLS = 1e-9
 #: Groups with fewer rows are judged by all rows of their language, and where these are too few by all of the corpus.
 LEAST_ROWS = 50
 #: With five degrees of freedom: chi-square quantiles 0.975 (reweighting) and 1 - 1e-6 (rejection), and the factors that
@@ -32,7 +41,8 @@ CORE_FACTOR, NEAR_FACTOR = 1.41, 1.055
 SENT_GROUPS = 20_000
 _X = [f"x{i}" for i in range(len(FLOORS))]
 _PAIRS = [(i, j) for i in range(len(FLOORS)) for j in range(i + 1)]
-_BIN = 16  # bins of squared distance for each factor e
+_BIN, _FINE = 16, 4096  # bins of squared distance for each factor e, and finer ones in a bin
+_SUMS = ["n", *(f"s{i}" for i in range(len(FLOORS))), *(f"p{i}{j}" for i, j in _PAIRS)]
 
 
 def _window_key(i: str) -> str:
@@ -103,8 +113,9 @@ def _pooled(rows: DataFrame) -> DataFrame:
     return keyed.join(plan, F.col("_own") == F.col("o"), "left").drop("o", "_own", "_lang").withColumn("grp", F.coalesce("grp", F.lit("none")))
 
 
-def _sent(table: DataFrame, groups: int) -> DataFrame:
-    return F.broadcast(table) if groups <= SENT_GROUPS else table
+def _judged(points: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
+    """`points` beside their group's estimates (with n, its rows): by broadcast up to SENT_GROUPS, else by a join that leaves large groups where they are."""
+    return points.join(F.broadcast(estimates), "grp") if groups <= SENT_GROUPS else counted_join(points, estimates, ["grp"], "n")
 
 
 def _settled(table: DataFrame, groups: int, scratch: Scratch, name: str) -> DataFrame:
@@ -126,15 +137,16 @@ def _distance(prefix: str = "") -> Column:
 
 
 def _sums() -> list[Column]:
-    """Exact sums: rows, coordinates, products."""
-    return [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)), *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"p{i}{j}") for i, j in _PAIRS)]
+    """Exact sums over vectors with counts w: rows, coordinates, products."""
+    x = [F.col(c) for c in _X]
+    return [F.sum("w").alias("n"), *(F.sum(F.col("w") * a).alias(f"s{i}") for i, a in enumerate(x)), *(F.sum(F.col("w") * x[i] * x[j]).alias(f"p{i}{j}") for i, j in _PAIRS)]
 
 
-def _estimate(sums: DataFrame, factor: float) -> DataFrame:
-    """grp, means and Cholesky factor of factor * covariance + floors."""
+def _estimate(sums: DataFrame, factor: float, keep: tuple[str, ...]) -> DataFrame:
+    """`keep`, means, Cholesky factor of factor * covariance + floors, and the logarithm of its determinant."""
     n = F.col("n").cast("double")
     d = lambda c: F.col(c).cast("double")
-    out = sums.select("grp", *((d(f"s{i}") / n / SCALE).alias(f"m{i}") for i in range(len(_X))), *((d(f"p{i}{j}") / n / SCALE**2).alias(f"q{i}{j}") for i, j in _PAIRS))
+    out = sums.select(*keep, *((d(f"s{i}") / n / SCALE).alias(f"m{i}") for i in range(len(_X))), *((d(f"p{i}{j}") / n / SCALE**2).alias(f"q{i}{j}") for i, j in _PAIRS))
     floors = list(FLOORS.values())
     for i, j in _PAIRS:
         value = factor * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
@@ -144,28 +156,99 @@ def _estimate(sums: DataFrame, factor: float) -> DataFrame:
             value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         # the floors keep every pivot positive; the guard is for rounding
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(floors[i] ** 2 / 4))) if i == j else value / F.col(f"l{j}{j}"))
-    return out.select("grp", *(f"m{i}" for i in range(len(_X))), *(f"l{i}{j}" for i, j in _PAIRS))
+    det = sum((2 * F.log(f"l{i}{i}") for i in range(1, len(_X))), 2 * F.log("l00"))
+    return out.withColumn("det", det).select(*keep, *_NAMES, "det")
 
 
-def robust_estimates(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """The reweighted minimum-covariance-determinant estimate of every group, and the number of groups."""
-    middle = rows.groupBy("grp").agg(*(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(x) for x in _X))
+_NAMES = [*(f"m{i}" for i in range(len(FLOORS))), *(f"l{i}{j}" for i, j in _PAIRS)]
+
+
+def _starts(points: DataFrame, sizes: DataFrame) -> DataFrame:
+    """grp, total, h, start and estimate of every start; no determinant yet."""
     floors = list(FLOORS.values())
+    # a map of a coordinate's distinct values, of which there are at most MOST * SCALE + 1
+    middle = points.groupBy("grp").agg(*(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("w")).alias(x) for x in _X))
     spread = lambda i, x: F.sqrt(((F.col(x)[2] - F.col(x)[0]) / (1.349 * SCALE)) ** 2 + floors[i] ** 2)
-    start = middle.select("grp", *((F.col(x)[1] / SCALE).alias(f"m{i}") for i, x in enumerate(_X)), *((spread(i, _X[i]) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS))
-    groups = rows.select("grp").distinct().count()
-    now = _settled(start, groups, scratch, "start")
-    bins = F.floor(F.log(_distance() + 1e-9) * _BIN).cast("int")
-    inside = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    names = ["n", *(f"s{i}" for i in range(len(_X))), *(f"p{i}{j}" for i, j in _PAIRS)]
-    for step in range(STEPS):
-        # one row a group and distance bin: the window sees a few hundred rows a group, whatever its size
-        binned = rows.join(_sent(now, groups), "grp").withColumn("bin", bins).groupBy("grp", "bin").agg(*_sums())
-        running = binned.select("grp", "bin", *(F.sum(c).over(inside).alias(c) for c in names), F.sum("n").over(Window.partitionBy("grp")).alias("total"), F.col("n").alias("own"))
-        core = running.where(F.col("n") >= CORE_SHARE * F.col("total")).where(F.col("n") - F.col("own") < CORE_SHARE * F.col("total"))
-        now = _settled(_estimate(core, CORE_FACTOR), groups, scratch, f"step{step}")
-    near = rows.join(_sent(now, groups), "grp").where(_distance() <= NEAR).groupBy("grp").agg(*_sums())
-    return _settled(_estimate(near, NEAR_FACTOR), groups, scratch, "estimate"), groups
+    plain = middle.select("grp", F.lit(0).alias("start"), *((F.col(x)[1] / SCALE).alias(f"m{i}") for i, x in enumerate(_X)), *((spread(i, _X[i]) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS), F.lit(float("inf")).alias("det"))
+    few, vector = len(_X) + 1, F.struct(*_X)
+    chosen = points.groupBy("grp").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), *_X).alias("k"), vector.alias("x"))).alias(f"c{k}") for k in range(few * (STARTS - 1))))
+    each = F.array(*(F.struct(F.lit(s + 1).alias("start"), F.col(f"c{few * s + k}.x").alias("x")) for s in range(STARTS - 1) for k in range(few)))
+    drawn = chosen.select("grp", F.explode(each).alias("e")).select("grp", "e.start", "e.x.*").withColumn("w", F.lit(1).cast("long"))
+    elemental = _estimate(drawn.groupBy("grp", "start").agg(*_sums()), 1.0, ("grp", "start")).withColumn("det", F.lit(float("inf")))
+    return sizes.join(plain.unionByName(elemental), "grp")
+
+
+def _crossing(binned: DataFrame, key: list[str], by: str) -> DataFrame:
+    """Of sums by bin, the bin in which the h-th row of each key falls, with the sums of all bins before it added to `b...`."""
+    inside = Window.partitionBy(*key).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    upto = binned.select("*", *((F.sum(c).over(inside) + F.col(f"b{c}")).alias(f"u{c}") for c in _SUMS))
+    here = upto.where("un >= h and un - n < h")
+    return here.select(*key, by, "h", *((F.col(f"u{c}") - F.col(c)).alias(f"b{c}") for c in _SUMS))
+
+
+def _concentrated(points: DataFrame, now: DataFrame, groups: int, scratch: Scratch, name: str) -> DataFrame:
+    """The estimates from exactly the h nearest rows by those of `now`, and `old`, the determinant before."""
+    key = ["grp", "start"]
+    estimates = now.withColumnRenamed("total", "n")
+    near = _judged(points, estimates, groups).select("grp", "start", *_X, "w", "h", _distance().alias("d"))
+    place = F.log(F.col("d") + 1e-9) * _BIN
+    zero = [F.lit(0).cast("long").alias(f"b{c}") for c in _SUMS]
+    coarse = near.withColumn("bin", F.floor(place).cast("int")).groupBy(*key, "h", "bin").agg(*_sums()).select("*", *zero)
+    first = _settled(_crossing(coarse, key, "bin"), groups * STARTS, scratch, f"{name}-bin")
+
+    def of(cross: DataFrame, by: str, value: Column, rows: DataFrame) -> DataFrame:
+        """Rows that fall in the crossing bin of their key, beside the sums before it."""
+        cut = cross.drop("h").withColumnRenamed(by, "_at").withColumnsRenamed({k: f"_{k}" for k in key})
+        met = rows.withColumn(by, value).join(F.broadcast(cut) if groups <= SENT_GROUPS else cut, (F.col("grp") == F.col("_grp")) & (F.col("start") == F.col("_start")) & (F.col(by) == F.col("_at")))
+        return met.drop("_at", "_grp", "_start")
+
+    before = [f"b{c}" for c in _SUMS]
+    inner = of(first, "bin", F.floor(place).cast("int"), near)
+    fine = F.floor((place - F.col("bin")) * _FINE).cast("int")
+    finer = inner.withColumn("fine", fine).groupBy(*key, "h", "fine", *before).agg(*_sums())
+    second = _settled(_crossing(finer, key, "fine"), groups * STARTS, scratch, f"{name}-fine")
+    last = of(second, "fine", fine, inner.drop(*before))
+    nearest = Window.partitionBy(*key).orderBy("d", *_X)
+    taken = last.withColumn("upto", F.sum("w").over(nearest.rowsBetween(Window.unboundedPreceding, 0)))
+    partly = taken.withColumn("w", F.least(F.col("w"), F.col("h") - F.col("bn") - (F.col("upto") - F.col("w")))).where("w > 0")
+    core = partly.groupBy(*key, *before).agg(*_sums()).select(*key, *((F.col(c) + F.col(f"b{c}")).alias(c) for c in _SUMS))
+    made = _estimate(core, CORE_FACTOR, ("grp", "start"))
+    old = now.select("grp", "start", "total", "h", F.col("det").alias("old"))
+    return _settled(old.join(made, key), groups * STARTS, scratch, name)
+
+
+def _least(estimates: DataFrame, most: int) -> DataFrame:
+    """Of each group the `most` estimates of least determinant (ties: the earlier start)."""
+    return estimates.withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))).where(F.col("_r") <= most).drop("_r")
+
+
+def least_determinants(points: DataFrame, scratch: Scratch, starts: int = STARTS) -> tuple[DataFrame, int]:
+    """The estimates (not yet reweighted) on which the BEST starts of every group end, and the number of groups.
+
+    `points`: grp, x0.., w.
+    """
+    sizes = points.groupBy("grp").agg(F.sum("w").alias("total")).withColumn("h", F.ceil(CORE_SHARE * F.col("total")))
+    groups = sizes.count()
+    now = _settled(_starts(points, sizes).where(F.col("start") < starts), groups * STARTS, scratch, "starts")
+    for step in range(FIRST_STEPS):
+        now = _concentrated(points, now, groups, scratch, f"step{step}").drop("old")
+    now, done, step = _settled(_least(now, BEST), groups * BEST, scratch, "best"), None, FIRST_STEPS
+    while not now.isEmpty():
+        moved = _concentrated(points, now, groups, scratch, f"step{step}")
+        falls = F.col("det") < F.col("old") - FALLS
+        ended = now.join(moved.where(~falls).select("grp", "start"), ["grp", "start"], "left_semi")
+        done = ended if done is None else done.unionByName(ended)
+        now, step = _settled(moved.where(falls).drop("old"), groups * BEST, scratch, f"going{step}"), step + 1
+    return (now if done is None else _settled(done, groups * BEST, scratch, "ended")), groups
+
+
+def robust_estimates(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """grp and the reweighted minimum-covariance-determinant estimate of every group of `rows` (grp, x0..), and the number of groups."""
+    points = scratch.table(rows.groupBy("grp", *_X).agg(F.count("*").alias("w")), "points")
+    ended, groups = least_determinants(points, scratch)
+    best = _settled(_least(ended, 1), groups, scratch, "least")
+    near = _judged(points, best.withColumnRenamed("total", "n"), groups).where(_distance() <= NEAR).groupBy("grp").agg(*_sums())
+    return _settled(_estimate(near, NEAR_FACTOR, ("grp", "n")), groups, scratch, "estimate"), groups
 
 
 def quality_rules(docs: DataFrame, far: float = FAR) -> DataFrame:
@@ -179,7 +262,8 @@ def quality_rules(docs: DataFrame, far: float = FAR) -> DataFrame:
     rows = scratch.table(vectors(base_statistics(docs)), "statistics")
     rows = scratch.table(_pooled(rows), "rows")
     estimates, groups = robust_estimates(rows.where("not base_failed").select(F.explode("into").alias("grp"), *_X), scratch)
-    judged = rows.join(_sent(estimates, groups), "grp", "left").withColumn("distance", _distance())
+    # rows without an estimate: none of their group's passes the base rules
+    judged = rows.join(F.broadcast(estimates) if groups <= SENT_GROUPS else estimates, "grp", "left").withColumn("distance", _distance())
     kept = (~F.col("base_failed")) & F.coalesce(F.col("distance") <= far, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 

@@ -297,3 +297,20 @@ def test_small_groups_are_judged_by_their_language_or_the_corpus(spark):
     rows = [(i, prose(100), "en", "a") for i in range(80)] + [(100 + i, odd(), "en", "b") for i in range(3)] + [(200, odd(), "xx", "c"), (201, prose(100), "en", "d")]
     kept = dict(got(outliers.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), "doc_id", "kept"))
     assert not any(kept[i] for i in (100, 101, 102, 200)) and all(kept[i] for i in (*range(80), 201))
+
+
+def test_suffixes_and_expansion_against_brute_force():
+    r = random.Random(1)
+    for _ in range(150):
+        alphabet = r.choice(["ab", "abcdefgh", "".join(map(chr, range(33, 250)))])
+        base = "".join(r.choice(alphabet) for _ in range(40))
+        contexts = [(base[r.randrange(10) :][: r.randrange(3, 40)] + r.choice(["", base[:3]])).encode() for _ in range(r.choice([2, 3, 60]))]
+        length, ends = r.choice([2, 5, 8, 20, 33]), np.cumsum([len(c) + 1 for c in contexts])
+        text = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8).astype(np.int64)
+        text[ends - 1] = np.arange(len(contexts)) - len(contexts)
+        suffix = [text[i : ends[np.searchsorted(ends, i, "right")]].tolist()[:length] for i in range(len(text))]
+        order, heads, first = repeats.suffix_order(text, length)
+        ordered = [suffix[i] for i in order]
+        assert ordered == sorted(ordered)
+        want = [a == b and len(b) == length and min(b) >= 0 for a, b in zip(ordered, ordered[1:], strict=False)]
+        assert repeats.expand(text, order, heads, first, length).tolist() == want
