@@ -42,10 +42,10 @@ rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'
 fits AS (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
     FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path),
 outcomes AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1 OR (quality IS NOT NULL AND toxic IS NOT NULL)) GROUP BY doc_id),
-hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(host, '.') AS l,
-        CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk') THEN 2 ELSE 1 END AS k
-    FROM parts LEFT JOIN outcomes USING (page_id) GROUP BY host),
-tree AS (SELECT host, n, bad, array_to_string(l[-k:], '.') AS suffix, array_to_string(l[-(k + 1):], '.') AS domain FROM hosts),
+named AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '\.?(:[0-9]*)?$', '') AS name FROM parts LEFT JOIN outcomes USING (page_id) GROUP BY host),
+hosts AS (SELECT host, n, bad, name, string_split(name, '.') AS l, CASE WHEN regexp_matches(name, '^([0-9]+\.){3}[0-9]+$|^\[.*\]$') THEN 0
+        WHEN regexp_matches(name, '(^|\.)(@GENERIC@)\.[a-z][a-z]$') THEN 2 ELSE 1 END AS k FROM named),
+tree AS (SELECT host, n, bad, CASE WHEN k = 0 THEN name ELSE array_to_string(l[-k:], '.') END AS suffix, CASE WHEN k = 0 THEN name ELSE array_to_string(l[-(k + 1):], '.') END AS domain FROM hosts),
 l1 AS (SELECT suffix AS id, '' AS up, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM tree GROUP BY suffix),
 l2 AS (SELECT domain AS id, suffix AS up, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM tree GROUP BY domain, suffix),
 l3 AS (SELECT host AS id, domain AS up, n::DOUBLE AS n, bad::DOUBLE AS bad FROM tree),
@@ -56,9 +56,11 @@ weights AS (SELECT lvs.lv, greatest(least(coalesce(CASE WHEN m > 1 AND nn > m AN
 root AS (SELECT (sum(bad) + 1.0) / (sum(n) + 2.0) AS mean FROM hosts),
 p1 AS (SELECT id, (mean * w + bad) / (w + n) AS mean FROM l1, root, weights WHERE lv = 1),
 p2 AS (SELECT l2.id, (mean * w + bad) / (w + n) AS mean FROM l2 JOIN p1 ON p1.id = l2.up, weights WHERE lv = 2),
-p3 AS (SELECT l3.id, (mean * w + bad) / (w + n) AS mean, w + n AS t FROM l3 JOIN p2 ON p2.id = l3.up, weights WHERE lv = 3)
-SELECT page_id, parts.host, parts.path, rule, coalesce(v, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (t + 1)) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts LEFT JOIN fits ON fits.host = parts.host AND fits.path = parts.path JOIN p3 ON p3.id = parts.host""",
+p3 AS (SELECT l3.id, mean * w + bad AS a, greatest((1 - mean) * w + n - bad, 1) AS b FROM l3 JOIN p2 ON p2.id = l3.up, weights WHERE lv = 3),
+odds AS (SELECT *, 1 / (2 * a - 1) AS p, 1 / (2 * b - 1) AS q, 2 / (1 / (2 * a - 1) + 1 / (2 * b - 1)) AS h, (1.6448536269514722 ** 2 - 3) / 6 AS g FROM p3),
+bounds AS (SELECT id, CASE WHEN a <= 1 THEN pow(0.05, 1 / a) ELSE a / (a + b * exp(2 * (1.6448536269514722 * sqrt(h + g) / h - (q - p) * (g + 5.0 / 6 - 2 / (3 * h))))) END AS bound FROM odds)
+SELECT page_id, parts.host, parts.path, rule, coalesce(v, CASE WHEN bound >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN fits ON fits.host = parts.host AND fits.path = parts.path JOIN bounds ON bounds.id = parts.host""",
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
 b AS (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
@@ -71,3 +73,4 @@ q AS (SELECT page_id, cast(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to FROM q""",
 }
+ORACLES["op6_url_filters"] = ORACLES["op6_url_filters"].replace("@GENERIC@", "|".join(url_reputation.GENERIC))

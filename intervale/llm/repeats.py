@@ -84,74 +84,89 @@ def long_anchors(flat: np.ndarray, length: int = LENGTH, gram: int = GRAM, piece
         yield pos[mine] + low, h[mine], c[mine]
 
 
-def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that sorts `key`, and the dense rank of every entry."""
-    order = np.argsort(key)
-    step = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.append(0, np.cumsum(step[1:] != step[:-1]))
-    return order, rank
-
-
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first `depth` symbols (at least): seven symbols at once, then by doubling.
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffixes sorted by their first `depth` symbols (at least): as many at once as a number holds, then twice or three times as many a round.
 
     Values below 0 in `text` are separators; they differ from each other, count less than bytes and end comparisons.
+    Also the starts, in this order, of the suffixes' classes by their first symbols, and the number of those.
     """
-    n, first = len(text), 7
-    symbol = np.concatenate([np.where(text < 0, 0, text + 1), np.zeros(first, np.int64)])
+    n = len(text)
+    kinds = np.zeros(256, np.int64)
+    kinds[text[text >= 0]] = 1
+    bits = int(kinds.sum() + 1).bit_length()
+    first = min(63 // bits, depth)
+    symbol = np.concatenate([np.where(text < 0, 0, np.cumsum(kinds)[np.maximum(text, 0)]), np.zeros(first, np.int64)])
     key, ended = np.zeros(n, np.int64), np.zeros(n, bool)
     for k in range(first):
-        key = key << 9 | np.where(ended, 0, symbol[k : n + k])
+        key = key << bits | np.where(ended, 0, symbol[k : n + k])
         ended |= symbol[k : n + k] == 0
-    order, rank = _ranked(key)
-    # what ends within these symbols differs by its separator
-    owner = np.cumsum(text < 0) - (text < 0)
-    order, rank = _ranked(rank * (n + 1) + np.where(ended, owner + 1, 0))
-    step = first
-    while step <= depth and step < n and rank[order[-1]] < n - 1:
-        key = rank * (n + 1)
-        key[:-step] += rank[step:] + 1
-        order, rank = _ranked(key)
-        step *= 2
-    return order
-
-
-def expand(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    order = np.argsort(key)
+    # what ends within these symbols differs by its separator, and those rise with the place
+    over = np.flatnonzero(ended[order])
+    some = order[over]
+    order[over] = some[np.lexsort((some, key[some]))]
+    step, rank = key[order], np.empty(n, np.int64)
+    new = np.append(True, (step[1:] != step[:-1]) | ended[order[1:]])
+    rank[order] = np.cumsum(new) - 1
+    heads = np.flatnonzero(new)
+    width, times = first, 3 if n < 1 << 20 else 2
+    while width < depth and rank[order[-1]] < n - 1:
+        key = rank
+        for k in range(1, times):
+            key = key * (n + 1)
+            if k * width < n:
+                key[: n - k * width] += rank[k * width :] + 1
+        # a suffix told from all others by its first symbols has the same rank in any key
+        order = np.argsort(key)
+        step = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.append(0, np.cumsum(step[1:] != step[:-1]))
+        width *= times
+    return order, heads, first
+
+
+def expand(text: np.ndarray, order: np.ndarray, heads: np.ndarray, first: int, length: int) -> np.ndarray:
     """For each place of the suffix order (but the first), whether the common prefix with the suffix before is `length` or more.
 
     Breadth-first backward extension: an interval of all suffixes that start with a string w of l symbols gives, for each
-    symbol c before them, the interval of cw; where its right end has no value yet, the common prefix there is l.
+    symbol c before them, the interval of cw; where its right end has no value yet, the common prefix there is l. It starts
+    from the intervals of all strings of `first` symbols, which begin at `heads`.
     """
     n = len(text)
     before = text[order - 1]  # the text ends with a separator, which stands before its first suffix
-    by_symbol = np.argsort(before, kind="stable")
+    symbol = np.where(before < 0, 0, before + 1)
     last_to_first = np.empty(n, np.int64)
-    last_to_first[by_symbol] = np.arange(n)
+    last_to_first[np.argsort(symbol.astype(np.uint16), kind="stable")] = np.arange(n)
     unset = np.ones(n + 1, bool)
-    unset[[0, n]] = False
-    first = text[order]
-    left = np.flatnonzero(np.diff(first, prepend=first[0] - 1))
-    right = np.append(left[1:], n) - 1
-    unset[left] = False
-    symbol = np.where(before < 0, 0, before + 1)
-    for _ in range(1, length):
+    unset[n] = False
+    unset[heads] = False
+    left, right = heads, np.append(heads[1:], n) - 1
+    # strings that go past a separator are told apart already; those that end with one stand for it
+    ends = np.append(np.flatnonzero(text < 0), n + first)
+    separator = ends[np.searchsorted(ends, order[left])] - order[left]
+    useful = separator >= first - 1
+    left, right = left[useful], right[useful]
+    for _ in range(first, length):
         if not len(left):
             break
         size = right - left + 1
-        ends = np.cumsum(size)
-        at = np.repeat(left - (ends - size), size) + np.arange(ends[-1])
+        stop = np.cumsum(size)
+        top = stop - size
+        at = np.repeat(left - top, size)
+        at += np.arange(stop[-1])
         kind = symbol[at]
-        heads = ends - size
-        low = np.minimum.reduceat(kind, heads)
-        alone = low == np.maximum.reduceat(kind, heads)
+        low = np.minimum.reduceat(kind, top)
+        alone = low == np.maximum.reduceat(kind, top)
         straight = alone & (low > 0)  # one symbol before all; what a separator precedes cannot be extended
-        mixed = np.repeat(~alone, size) & (kind > 0)
-        both = np.sort((np.repeat(np.arange(len(left)), size)[mixed] * 257 + kind[mixed]) * n + at[mixed])
-        key, at = both // n, both % n
-        head = np.flatnonzero(np.diff(key, prepend=-1))
-        tail = np.append(head[1:], len(key))[: len(head)] - 1
-        left, right = np.concatenate([left[straight], at[head]]), np.concatenate([right[straight], at[tail]])
+        if alone.all():
+            left, right = left[straight], right[straight]
+        else:
+            mixed = np.repeat(~alone, size) & (kind > 0)
+            both = np.sort((np.repeat(np.arange(len(left)), size)[mixed] * 257 + kind[mixed]) * n + at[mixed])
+            key, at = both // n, both % n
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            tail = np.append(head[1:], len(key))[: len(head)] - 1
+            left, right = np.concatenate([left[straight], at[head]]), np.concatenate([right[straight], at[tail]])
         left, right = last_to_first[left], last_to_first[right]
         new = unset[right + 1]
         left, right = left[new], right[new]
@@ -167,9 +182,9 @@ def repeated_offsets(contexts: list[bytes], places: np.ndarray, groups: np.ndarr
     raw = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8)
     text = raw.astype(np.int64)
     text[ends - 1] = np.arange(len(contexts)) - len(contexts)
-    order = suffix_order(text, length)
+    order, heads, first = suffix_order(text, length)
     run = np.zeros(len(text), np.int64)
-    run[1:] = np.cumsum(~expand(text, order, length))
+    run[1:] = np.cumsum(~expand(text, order, heads, first, length))
     owner = np.repeat(np.arange(len(contexts)), sizes)[order]
     back = places[owner] - (order - (ends - sizes)[owner])
     fits = (back >= 0) & (ends[owner] - 1 - order >= length)
