@@ -56,9 +56,9 @@ weights AS (SELECT lvs.lv, greatest(least(coalesce(CASE WHEN m > 1 AND nn > m AN
 root AS (SELECT (sum(bad) + 1.0) / (sum(n) + 2.0) AS mean FROM hosts),
 p1 AS (SELECT id, (mean * w + bad) / (w + n) AS mean FROM l1, root, weights WHERE lv = 1),
 p2 AS (SELECT l2.id, (mean * w + bad) / (w + n) AS mean FROM l2 JOIN p1 ON p1.id = l2.up, weights WHERE lv = 2),
-p3 AS (SELECT l3.id, mean * w + bad AS a, greatest((1 - mean) * w + n - bad, 1) AS b FROM l3 JOIN p2 ON p2.id = l3.up, weights WHERE lv = 3),
+p3 AS (SELECT l3.id, mean * w + bad AS a, (1 - mean) * w + n - bad AS b FROM l3 JOIN p2 ON p2.id = l3.up, weights WHERE lv = 3),
 odds AS (SELECT *, 1 / (2 * a - 1) AS p, 1 / (2 * b - 1) AS q, 2 / (1 / (2 * a - 1) + 1 / (2 * b - 1)) AS h, (1.6448536269514722 ** 2 - 3) / 6 AS g FROM p3),
-bounds AS (SELECT id, CASE WHEN a <= 1 THEN pow(0.05, 1 / a) ELSE a / (a + b * exp(2 * (1.6448536269514722 * sqrt(h + g) / h - (q - p) * (g + 5.0 / 6 - 2 / (3 * h))))) END AS bound FROM odds)
+bounds AS (SELECT id, CASE WHEN a <= 1 OR b <= 1 THEN pow(0.05, 1 / a) ELSE a / (a + b * exp(2 * (1.6448536269514722 * sqrt(h + g) / h - (q - p) * (g + 5.0 / 6 - 2 / (3 * h))))) END AS bound FROM odds)
 SELECT page_id, parts.host, parts.path, rule, coalesce(v, CASE WHEN bound >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fits ON fits.host = parts.host AND fits.path = parts.path JOIN bounds ON bounds.id = parts.host""",
     "op8_decontamination": f"""

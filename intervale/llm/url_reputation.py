@@ -57,11 +57,11 @@ def with_tree(hosts: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
     labels = F.size(F.split("_name", r"\."))
     for k in (4, 3, 2):
         if but:
-            length = length.when(tail(k).isin(but), k - 1)
+            length = length.when((labels >= k) & tail(k).isin(but), k - 1)
     for k in (4, 3, 2):
         rule = F.lit(False)
         if plain:
-            rule = rule | tail(k).isin(plain)
+            rule = rule | ((labels >= k) & tail(k).isin(plain))
         if wild:
             rule = rule | ((labels >= k) & tail(k - 1).isin(wild))
         length = length.when(rule, k)
@@ -72,12 +72,12 @@ def with_tree(hosts: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
 
 
 def beta_quantile(a: Column, b: Column) -> Column:
-    """The TAIL quantile of a beta distribution: by the normal deviate of a logarithm of odds (Abramowitz and Stegun 26.5.22) for a > 1;
-    for a <= 1 that of beta(a, 1), which is TAIL or less. b below 1 counts as 1, which errs towards smaller quantiles."""
-    p, q = 1 / (2 * a - 1), 1 / (2 * F.greatest(b, F.lit(1.0)) - 1)
+    """The TAIL quantile of a beta distribution: by the normal deviate of a logarithm of odds (Abramowitz and Stegun 26.5.22) where a and b are
+    above 1. For b <= 1 that of beta(a, 1), which errs towards smaller quantiles, and for a <= 1 too, where it is TAIL or less in any case."""
+    p, q = 1 / (2 * a - 1), 1 / (2 * b - 1)
     h, lift = 2 / (p + q), (DEVIATIONS**2 - 3) / 6
     w = DEVIATIONS * F.sqrt(h + lift) / h - (q - p) * (lift + 5 / 6 - 2 / (3 * h))
-    return F.when(a <= 1, F.pow(F.lit(TAIL), 1 / a)).otherwise(a / (a + F.greatest(b, F.lit(1.0)) * F.exp(2 * w)))
+    return F.when((a <= 1) | (b <= 1), F.pow(F.lit(TAIL), 1 / a)).otherwise(a / (a + b * F.exp(2 * w)))
 
 
 def _weight(level: DataFrame) -> DataFrame:

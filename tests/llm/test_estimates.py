@@ -65,7 +65,7 @@ def test_posterior_quantile_against_integration(spark):
         log = (a - 1) * np.log(x) + (max(b, 1.0) - 1) * np.log1p(-x)
         p = np.cumsum(np.exp(log - log.max()))
         exact = x[np.searchsorted(p / p[-1], url_reputation.TAIL)]
-        assert abs(q - exact) < 0.015 or (a <= 1 and exact - 1e-4 <= q <= url_reputation.TAIL), (a, b, q, exact)
+        assert abs(q - exact) < 0.005 or (a <= 1 and exact - 1e-4 <= q <= url_reputation.TAIL), (a, b, q, exact)
 
 
 def test_suffixes_ports_and_addresses(spark):
