@@ -7,12 +7,14 @@ the exactly h nearest rows by the estimate before; after FIRST_STEPS steps the B
 determinant falls no more, and the least of all is reweighted. Rows beyond a chi-square bound of that are rejected. Sums
 are exact integers, so results don't hang on the order of rows.
 
-The h-th distance is found by bins, finer bins of the bin it falls in, and an order of the rows of one finer bin, so that no
-task sees more of a group than that.
+The h-th distance is found by bins, and an order of the vectors of the one bin it falls in, so that no task sees more of a
+group than that.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,7 +43,7 @@ CORE_FACTOR, NEAR_FACTOR = 1.41, 1.055
 SENT_GROUPS = 20_000
 _X = [f"x{i}" for i in range(len(FLOORS))]
 _PAIRS = [(i, j) for i in range(len(FLOORS)) for j in range(i + 1)]
-_BIN, _FINE = 16, 4096  # bins of squared distance for each factor e, and finer ones in a bin
+_BIN = 64  # bins of squared distance for each factor e
 _SUMS = ["n", *(f"s{i}" for i in range(len(FLOORS))), *(f"p{i}{j}" for i, j in _PAIRS)]
 
 
@@ -125,15 +127,11 @@ def _settled(table: DataFrame, groups: int, scratch: Scratch, name: str) -> Data
     return scratch.table(table, name)
 
 
-def _distance(prefix: str = "") -> Column:
-    """Squared Mahalanobis distance of x0.. by means m0.. and the covariance's Cholesky factor l00.. (forward substitution)."""
-    y: list[Column] = []
-    for i, x in enumerate(_X):
-        part = F.col(x) / SCALE - F.col(f"m{i}")
-        for j in range(i):
-            part = part - F.col(f"l{i}{j}") * y[j]
-        y.append(part / F.col(f"l{i}{i}"))
-    return sum((c * c for c in y[1:]), y[0] * y[0])
+def _distance() -> Column:
+    """Squared Mahalanobis distance of x0.. by means m0.. and the inverse k00.. of the covariance's Cholesky factor."""
+    off = [F.col(x) / SCALE - F.col(f"m{i}") for i, x in enumerate(_X)]
+    forms = [sum((F.col(f"k{i}{j}") * off[j] for j in range(1, i + 1)), F.col(f"k{i}0") * off[0]) for i in range(len(_X))]
+    return sum((c * c for c in forms[1:]), forms[0] * forms[0])
 
 
 def _sums() -> list[Column]:
@@ -143,7 +141,7 @@ def _sums() -> list[Column]:
 
 
 def _estimate(sums: DataFrame, factor: float, keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, means, Cholesky factor of factor * covariance + floors, and the logarithm of its determinant."""
+    """`keep`, means, inverse Cholesky factor of factor * covariance + floors, and the logarithm of the determinant of these."""
     n = F.col("n").cast("double")
     d = lambda c: F.col(c).cast("double")
     out = sums.select(*keep, *((d(f"s{i}") / n / SCALE).alias(f"m{i}") for i in range(len(_X))), *((d(f"p{i}{j}") / n / SCALE**2).alias(f"q{i}{j}") for i, j in _PAIRS))
@@ -157,10 +155,15 @@ def _estimate(sums: DataFrame, factor: float, keep: tuple[str, ...]) -> DataFram
         # the floors keep every pivot positive; the guard is for rounding
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(floors[i] ** 2 / 4))) if i == j else value / F.col(f"l{j}{j}"))
     det = sum((2 * F.log(f"l{i}{i}") for i in range(1, len(_X))), 2 * F.log("l00"))
-    return out.withColumn("det", det).select(*keep, *_NAMES, "det")
+    out = out.withColumn("det", det)
+    for j in range(len(_X)):
+        for i in range(j, len(_X)):
+            above = sum((F.col(f"l{i}{t}") * F.col(f"k{t}{j}") for t in range(j + 1, i)), F.col(f"l{i}{j}") * F.col(f"k{j}{j}")) if i > j else None
+            out = out.withColumn(f"k{i}{j}", 1 / F.col(f"l{i}{i}") if above is None else -above / F.col(f"l{i}{i}"))
+    return out.select(*keep, *_NAMES, "det")
 
 
-_NAMES = [*(f"m{i}" for i in range(len(FLOORS))), *(f"l{i}{j}" for i, j in _PAIRS)]
+_NAMES = [*(f"m{i}" for i in range(len(FLOORS))), *(f"k{i}{j}" for i, j in _PAIRS)]
 
 
 def _starts(points: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -169,7 +172,7 @@ def _starts(points: DataFrame, sizes: DataFrame) -> DataFrame:
     # a map of a coordinate's distinct values, of which there are at most MOST * SCALE + 1
     middle = points.groupBy("grp").agg(*(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("w")).alias(x) for x in _X))
     spread = lambda i, x: F.sqrt(((F.col(x)[2] - F.col(x)[0]) / (1.349 * SCALE)) ** 2 + floors[i] ** 2)
-    plain = middle.select("grp", F.lit(0).alias("start"), *((F.col(x)[1] / SCALE).alias(f"m{i}") for i, x in enumerate(_X)), *((spread(i, _X[i]) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS), F.lit(float("inf")).alias("det"))
+    plain = middle.select("grp", F.lit(0).alias("start"), *((F.col(x)[1] / SCALE).alias(f"m{i}") for i, x in enumerate(_X)), *((1 / spread(i, _X[i]) if i == j else F.lit(0.0)).alias(f"k{i}{j}") for i, j in _PAIRS), F.lit(float("inf")).alias("det"))
     few, vector = len(_X) + 1, F.struct(*_X)
     chosen = points.groupBy("grp").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), *_X).alias("k"), vector.alias("x"))).alias(f"c{k}") for k in range(few * (STARTS - 1))))
     each = F.array(*(F.struct(F.lit(s + 1).alias("start"), F.col(f"c{few * s + k}.x").alias("x")) for s in range(STARTS - 1) for k in range(few)))
@@ -178,43 +181,22 @@ def _starts(points: DataFrame, sizes: DataFrame) -> DataFrame:
     return sizes.join(plain.unionByName(elemental), "grp")
 
 
-def _crossing(binned: DataFrame, key: list[str], by: str) -> DataFrame:
-    """Of sums by bin, the bin in which the h-th row of each key falls, with the sums of all bins before it added to `b...`."""
-    inside = Window.partitionBy(*key).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    upto = binned.select("*", *((F.sum(c).over(inside) + F.col(f"b{c}")).alias(f"u{c}") for c in _SUMS))
-    here = upto.where("un >= h and un - n < h")
-    return here.select(*key, by, "h", *((F.col(f"u{c}") - F.col(c)).alias(f"b{c}") for c in _SUMS))
-
-
 def _concentrated(points: DataFrame, now: DataFrame, groups: int, scratch: Scratch, name: str) -> DataFrame:
     """The estimates from exactly the h nearest rows by those of `now`, and `old`, the determinant before."""
     key = ["grp", "start"]
-    estimates = now.withColumnRenamed("total", "n")
-    near = _judged(points, estimates, groups).select("grp", "start", *_X, "w", "h", _distance().alias("d"))
-    place = F.log(F.col("d") + 1e-9) * _BIN
-    zero = [F.lit(0).cast("long").alias(f"b{c}") for c in _SUMS]
-    coarse = near.withColumn("bin", F.floor(place).cast("int")).groupBy(*key, "h", "bin").agg(*_sums()).select("*", *zero)
-    first = _settled(_crossing(coarse, key, "bin"), groups * STARTS, scratch, f"{name}-bin")
-
-    def of(cross: DataFrame, by: str, value: Column, rows: DataFrame) -> DataFrame:
-        """Rows that fall in the crossing bin of their key, beside the sums before it."""
-        cut = cross.drop("h").withColumnRenamed(by, "_at").withColumnsRenamed({k: f"_{k}" for k in key})
-        met = rows.withColumn(by, value).join(F.broadcast(cut) if groups <= SENT_GROUPS else cut, (F.col("grp") == F.col("_grp")) & (F.col("start") == F.col("_start")) & (F.col(by) == F.col("_at")))
-        return met.drop("_at", "_grp", "_start")
-
-    before = [f"b{c}" for c in _SUMS]
-    inner = of(first, "bin", F.floor(place).cast("int"), near)
-    fine = F.floor((place - F.col("bin")) * _FINE).cast("int")
-    finer = inner.withColumn("fine", fine).groupBy(*key, "h", "fine", *before).agg(*_sums())
-    second = _settled(_crossing(finer, key, "fine"), groups * STARTS, scratch, f"{name}-fine")
-    last = of(second, "fine", fine, inner.drop(*before))
-    nearest = Window.partitionBy(*key).orderBy("d", *_X)
-    taken = last.withColumn("upto", F.sum("w").over(nearest.rowsBetween(Window.unboundedPreceding, 0)))
+    near = _judged(points, now.withColumnRenamed("total", "n"), groups).select(*key, *_X, "w", "h", _distance().alias("d"))
+    binned = near.withColumn("bin", F.floor(F.log(F.col("d") + 1e-9) * _BIN).cast("int"))
+    inside = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    upto = binned.groupBy(*key, "h", "bin").agg(*_sums()).select("*", *(F.sum(c).over(inside).alias(f"u{c}") for c in _SUMS))
+    before = [f"b{c}" for c in _SUMS]  # sums of all bins before the one in which the h-th row falls
+    crossing = upto.where("un >= h and un - n < h").select(*(F.col(k).alias(f"_{k}") for k in (*key, "bin")), *((F.col(f"u{c}") - F.col(c)).alias(f"b{c}") for c in _SUMS))
+    here = binned.join(F.broadcast(crossing) if groups <= SENT_GROUPS else crossing, F.expr("grp = _grp and start = _start and bin = _bin"))
+    nearest = Window.partitionBy(*key).orderBy("d", *_X).rowsBetween(Window.unboundedPreceding, 0)
+    taken = here.withColumn("upto", F.sum("w").over(nearest))
     partly = taken.withColumn("w", F.least(F.col("w"), F.col("h") - F.col("bn") - (F.col("upto") - F.col("w")))).where("w > 0")
     core = partly.groupBy(*key, *before).agg(*_sums()).select(*key, *((F.col(c) + F.col(f"b{c}")).alias(c) for c in _SUMS))
-    made = _estimate(core, CORE_FACTOR, ("grp", "start"))
-    old = now.select("grp", "start", "total", "h", F.col("det").alias("old"))
-    return _settled(old.join(made, key), groups * STARTS, scratch, name)
+    old = now.select(*key, "total", "h", F.col("det").alias("old"))
+    return _settled(old.join(_estimate(core, CORE_FACTOR, ("grp", "start")), key), groups * STARTS, scratch, name)
 
 
 def _least(estimates: DataFrame, most: int) -> DataFrame:
@@ -232,14 +214,14 @@ def least_determinants(points: DataFrame, scratch: Scratch, starts: int = STARTS
     now = _settled(_starts(points, sizes).where(F.col("start") < starts), groups * STARTS, scratch, "starts")
     for step in range(FIRST_STEPS):
         now = _concentrated(points, now, groups, scratch, f"step{step}").drop("old")
-    now, done, step = _settled(_least(now, BEST), groups * BEST, scratch, "best"), None, FIRST_STEPS
-    while not now.isEmpty():
+    now, done, step = _least(now, BEST), [], FIRST_STEPS
+    while True:
         moved = _concentrated(points, now, groups, scratch, f"step{step}")
         falls = F.col("det") < F.col("old") - FALLS
-        ended = now.join(moved.where(~falls).select("grp", "start"), ["grp", "start"], "left_semi")
-        done = ended if done is None else done.unionByName(ended)
-        now, step = _settled(moved.where(falls).drop("old"), groups * BEST, scratch, f"going{step}"), step + 1
-    return (now if done is None else _settled(done, groups * BEST, scratch, "ended")), groups
+        done.append(now.join(moved.where(~falls).select("grp", "start"), ["grp", "start"], "left_semi"))
+        now, step = moved.where(falls).drop("old"), step + 1
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, done), groups
 
 
 def robust_estimates(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:

@@ -44,8 +44,8 @@ def test_least_determinant_against_all_subsets(spark, groups):
     # the chosen one is a fixed point of concentration, and its reweighting is that of numpy
     best = min((r for r in found if r["grp"] == "c"), key=lambda r: r["det"])
     x = groups["c"]
-    factor = np.array([[best.get(f"l{i}{j}", 0.0) for j in range(5)] for i in range(5)])
-    m, c = np.array([best[f"m{i}"] for i in range(5)]), factor @ factor.T
+    inverse = np.array([[best.get(f"k{i}{j}", 0.0) for j in range(5)] for i in range(5)])
+    m, c = np.array([best[f"m{i}"] for i in range(5)]), np.linalg.inv(inverse.T @ inverse)
     core = x[np.argsort(distance(x, m, c), kind="stable")[: best["h"]]]
     assert np.allclose(estimate(core, outliers.CORE_FACTOR)[1], c) and np.allclose(core.mean(0), m)
     near = x[distance(x, m, c) <= outliers.NEAR]
