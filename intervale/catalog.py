@@ -23,7 +23,7 @@ C = Candidates()
 CHAIN = {
     "frames": "SELECT concat('v', vec_id // 50) AS video_id, cast(vec_id % 50 AS INT) AS t, embedding::DOUBLE[] AS h FROM embeddings",
     "videos": "SELECT concat('v', vec_id // 50) AS video_id, concat('cat', label) AS category, 50.0::DOUBLE / 3 AS duration, cast(label % 3 AS INT) AS category_id FROM embeddings WHERE vec_id % 50 = 0",
-    "caps": "SELECT concat('v', vec_id // 50) AS video_id, cast(vec_id % 50 AS INT) AS t, trim(replace(substring(text, 1, 60), chr(10), ' ')) AS caption FROM embeddings JOIN documents ON doc_id = vec_id % 200",
+    "caps": "SELECT concat('v', vec_id // 50) AS video_id, cast(vec_id % 50 AS INT) AS t, trim(replace(text, chr(10), ' ')) AS caption FROM embeddings JOIN documents ON doc_id = vec_id % (SELECT count(*) FROM documents)",
     "txt": "SELECT video_id, cast((t + 49) % 50 AS INT) AS t, h AS q FROM frames",
     "typ": "SELECT concat('v', vec_id // 50) AS video_id, cast(vec_id % 50 AS INT) AS t, cast(label % 4 AS INT) AS type_id FROM embeddings",
     "prob": "SELECT concat('v', vec_id // 50) AS video_id, cast(vec_id % 50 AS INT) AS t, ((vec_id * 37) % 101)::DOUBLE / 101 AS b FROM embeddings",
@@ -53,25 +53,12 @@ CHAIN = {
     "sel": "SELECT video_id, i - 1 AS sel_rank, c[i].uid AS uid, c[i].s AS s, c[i].e AS e, c[i].sfs AS sfs, c[i].mid AS mid, c[i].n AS n_frames, c[i].dens AS s_density FROM greedy, range(1, 11) r(i) WHERE i <= len(c)",
     "moved": "SELECT *, least(a, z) AS new_s, greatest(a, z) AS new_e FROM (SELECT p.video_id, p.uid, p.s, p.e, (SELECT arg_max(t, (b, -t)) FROM prob f WHERE f.video_id = p.video_id AND f.t BETWEEN p.s - 4 AND p.s + 4) AS a, (SELECT arg_max(t, (b, -t)) FROM prob f WHERE f.video_id = p.video_id AND f.t BETWEEN p.e - 4 AND p.e + 4) AS z FROM pool p)",
     "seltyp": "SELECT sel.*, type_id, category_id FROM sel JOIN typ ON typ.video_id = sel.video_id AND typ.t = sel.mid JOIN videos ON videos.video_id = sel.video_id",
-    "ivl": "SELECT concat('u', user_id) AS video_id, event_id, epoch(ts)::DOUBLE AS start, epoch(ts)::DOUBLE + value * 3600 AS end_, concat(event_type, ' ', trim(replace(substring(text, 1, 80), chr(10), ' '))) AS sentence FROM events JOIN documents ON doc_id = event_id % 200",
+    "ivl": "SELECT concat('u', user_id) AS video_id, event_id, epoch(ts)::DOUBLE AS start, epoch(ts)::DOUBLE + value * 3600 AS end_, concat(event_type, ' ', trim(replace(text, chr(10), ' '))) AS sentence FROM events JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents)",
     "pred": "SELECT * FROM ivl WHERE event_id % 2 = 0",
     "ref": "SELECT video_id, start, end_, list_sort(list(sentence)) AS sentences FROM ivl WHERE event_id % 2 = 1 GROUP BY ALL",
     "pairs": "SELECT p.video_id, p.event_id, p.sentence AS p_sentence, r.start AS r_start, r.end_ AS r_end, r.sentences, x / greatest((p.end_ - p.start) + (r.end_ - r.start) - x, 1e-12) AS iou FROM pred p JOIN ref r ON p.video_id = r.video_id, LATERAL (SELECT greatest(0, least(p.end_, r.end_) - greatest(p.start, r.start)) AS x) WHERE x > 0",
     "best": "SELECT r.video_id, r.start, r.end_, coalesce(max(iou), 0) AS best FROM ref r LEFT JOIN pairs p ON p.video_id = r.video_id AND p.r_start = r.start AND p.r_end = r.end_ GROUP BY ALL",
 }
-#: The same over all documents and whole texts.
-CHAIN["caps_whole"] = CHAIN["caps"].replace("substring(text, 1, 60)", "text").replace("% 200", "% (SELECT count(*) FROM documents)")
-CHAIN["ivl_whole"] = CHAIN["ivl"].replace("substring(text, 1, 80)", "text").replace("% 200", "% (SELECT count(*) FROM documents)")
-
-
-def _whole(body: str) -> str:
-    """SQL `body` over all documents and whole texts."""
-    import re
-
-    return re.sub(r"\b(caps|ivl|pred|ref|pairs)\b", r"\1_whole", body)
-
-
-CHAIN |= {f"{k}_whole": _whole(CHAIN[k]) for k in ("pred", "ref", "pairs")}
 
 
 def sql(body: str) -> str:
@@ -97,19 +84,6 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def whole_query(name: str, oracle: str | None = None):
-    """Queries `name` and, over all documents and whole texts, `name`_whole; without SQL to agree with, `name` itself is whole."""
-
-    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        if oracle is None:
-            return query(name)(lambda s, d: f(s, d, True))
-        query(name, oracle)(lambda s, d: f(s, d, False))
-        query(f"{name}_whole", _whole(oracle))(lambda s, d: f(s, d, True))
-        return f
-
-    return add
-
-
 R = lambda x, a=None: f"round({x}, 6) + 0.0 AS {a or x}"
 
 
@@ -131,10 +105,10 @@ def _typed(s: SparkSession, d: str) -> DataFrame:
     return _selected(s, d).join(T.types(s, d).withColumnRenamed("t", "mid"), ["video_id", "mid"])
 
 
-@whole_query("pseudo_labels_l0", f"SELECT video_id, cast(sel_rank AS INT) AS sel_rank, {R('s / 3.0', 'start')}, {R('(e + 1) / 3.0', 'end_')}, caption, {R('sfs')} FROM sel JOIN caps ON caps.video_id = sel.video_id AND caps.t = sel.mid".replace("SELECT video_id", "SELECT sel.video_id"))
+@query("pseudo_labels_l0", f"SELECT video_id, cast(sel_rank AS INT) AS sel_rank, {R('s / 3.0', 'start')}, {R('(e + 1) / 3.0', 'end_')}, caption, {R('sfs')} FROM sel JOIN caps ON caps.video_id = sel.video_id AND caps.t = sel.mid".replace("SELECT video_id", "SELECT sel.video_id"))
 def pseudo_labels(s, d, w):
     a, b = sinks.seconds("s", "e", 3.0)
-    return _selected(s, d).join(T.captions(s, d, whole=w).withColumnRenamed("t", "mid"), ["video_id", "mid"]).select("video_id", "sel_rank", r(a).alias("start"), r(b).alias("end_"), "caption", r(F.col("sfs")).alias("sfs"))
+    return _selected(s, d).join(T.captions(s, d).withColumnRenamed("t", "mid"), ["video_id", "mid"]).select("video_id", "sel_rank", r(a).alias("start"), r(b).alias("end_"), "caption", r(F.col("sfs")).alias("sfs"))
 
 
 query("frame_distance", f"SELECT video_id, t, {R('d')} FROM dist")(lambda s, d: boundaries.frame_distance(T.frames(s, d)).withColumn("d", r(F.col("d"))))
@@ -170,22 +144,22 @@ query("duration_default", f"SELECT o_orderkey AS id, {R('coalesce(nullif(o_total
 query("l2_normalize", f"SELECT video_id, t, {R('h[1] / (sqrt(list_dot_product(h, h)) + 1e-8)', 'u1')} FROM frames")(lambda s, d: T.frames(s, d).select("video_id", "t", r(vectors.unit("h")[0]).alias("u1")))
 query("phi_curve", "SELECT i, round(CASE WHEN i / 100.0 < 0.05 THEN 1 WHEN i / 100.0 <= 0.25 THEN 1.175 - 3.5 * (i / 100.0) ELSE 0.3 END::DOUBLE, 6) AS phi FROM range(101) x(i)")(lambda s, d: s.range(101).select(F.col("id").alias("i"), r(vectors.closeness(F.col("id") / 100.0)).alias("phi")))
 query("grid_linspace", "SELECT t, unnest(list_distinct(list_transform(range(12), lambda i: cast(round_even(i * (t - 1) / 11.0, 0) AS INT)))) AS g FROM range(8, 60) x(t)")(lambda s, d: s.range(8, 60).select(F.col("id").alias("t"), F.explode(vectors.grid(F.col("id"))).alias("g")))
-query("tiou_pairs", f"SELECT a.video_id, a.s AS s1, a.e AS e1, b.s AS s2, b.e AS e2, {R('greatest(0, least(a.e, b.e) - greatest(a.s, b.s) + 1) / (greatest(a.e, b.e) - least(a.s, b.s) + 1)', 'iou')} FROM spans a JOIN spans b ON a.video_id = b.video_id AND (a.s, a.e) < (b.s, b.e)")
+@query("tiou_pairs", f"SELECT a.video_id, a.s AS s1, a.e AS e1, b.s AS s2, b.e AS e2, {R('greatest(0, least(a.e, b.e) - greatest(a.s, b.s) + 1) / (greatest(a.e, b.e) - least(a.s, b.s) + 1)', 'iou')} FROM spans a JOIN spans b ON a.video_id = b.video_id AND (a.s, a.e) < (b.s, b.e)")
 def tiou(s, d):
     x = boundaries.relaxed_spans(T.frames(s, d), C).select("video_id", "s", "e")
     a, b = x.toDF("video_id", "s1", "e1"), x.toDF("video_id", "s2", "e2")
     return a.join(b, "video_id").where("s1 < s2 or s1 = s2 and e1 < e2").withColumn("iou", r(vectors.frames_iou(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))))
 
 
-whole_query("caption_lookup", "SELECT p.video_id, cast(uid AS INT) AS uid, coalesce(caption, '') AS caption FROM pool p LEFT JOIN caps c ON c.video_id = p.video_id AND c.t = p.mid")(lambda s, d, w: _pool(s, d).select("video_id", "uid", "mid").join(T.captions(s, d, whole=w).withColumnRenamed("t", "mid"), ["video_id", "mid"], "left").select("video_id", "uid", F.coalesce("caption", F.lit("")).alias("caption")))
+query("caption_lookup", "SELECT p.video_id, cast(uid AS INT) AS uid, coalesce(caption, '') AS caption FROM pool p LEFT JOIN caps c ON c.video_id = p.video_id AND c.t = p.mid")(lambda s, d: _pool(s, d).select("video_id", "uid", "mid").join(T.captions(s, d).withColumnRenamed("t", "mid"), ["video_id", "mid"], "left").select("video_id", "uid", F.coalesce("caption", F.lit("")).alias("caption")))
 query("span_seconds", f"SELECT video_id, s, e, {R('s / 3.0', 'start')}, {R('(e + 1) / 3.0', 'end_')} FROM spans")(lambda s, d: boundaries.relaxed_spans(T.frames(s, d), C).select("video_id", "s", "e", r(sinks.seconds("s", "e", 3.0)[0]).alias("start"), r(sinks.seconds("s", "e", 3.0)[1]).alias("end_")))
 _LAB = "SELECT sel.video_id, sel_rank, least(sel.s / 3.0, duration) AS st, least((sel.e + 1) / 3.0, duration) AS en, caption, duration FROM sel JOIN videos ON videos.video_id = sel.video_id JOIN caps ON caps.video_id = sel.video_id AND caps.t = sel.mid"
-whole_query("labels_activitynet", f"SELECT video_id, cast(row_number() OVER (PARTITION BY video_id ORDER BY st, sel_rank) - 1 AS INT) AS ord, round(st, 4) AS start, round(en, 4) AS end_, caption, round(duration, 3) AS duration FROM ({_LAB}) WHERE en > st")(lambda s, d, w: sinks.labels(_captioned(s, d, w), T.videos(s, d).withColumn("n_frames", F.lit(50))))
-whole_query("labels_charades", f"SELECT video_id, {R('st', 'start')}, {R('en', 'end_')}, trim(caption) AS caption FROM ({_LAB}) WHERE en > st AND trim(caption) <> ''")(lambda s, d, w: sinks.line_rows(_captioned(s, d, w), T.videos(s, d).withColumn("n_frames", F.lit(50))).select("video_id", r(F.col("start")).alias("start"), r(F.col("end_")).alias("end_"), "caption"))
+query("labels_activitynet", f"SELECT video_id, cast(row_number() OVER (PARTITION BY video_id ORDER BY st, sel_rank) - 1 AS INT) AS ord, round(st, 4) AS start, round(en, 4) AS end_, caption, round(duration, 3) AS duration FROM ({_LAB}) WHERE en > st")(lambda s, d: sinks.labels(_captioned(s, d), T.videos(s, d).withColumn("n_frames", F.lit(50))))
+query("labels_charades", f"SELECT video_id, {R('st', 'start')}, {R('en', 'end_')}, trim(caption) AS caption FROM ({_LAB}) WHERE en > st AND trim(caption) <> ''")(lambda s, d: sinks.line_rows(_captioned(s, d), T.videos(s, d).withColumn("n_frames", F.lit(50))).select("video_id", r(F.col("start")).alias("start"), r(F.col("end_")).alias("end_"), "caption"))
 
 
-def _captioned(s, d, w):
-    return _selected(s, d).join(T.captions(s, d, whole=w).withColumnRenamed("t", "mid"), ["video_id", "mid"])
+def _captioned(s, d):
+    return _selected(s, d).join(T.captions(s, d).withColumnRenamed("t", "mid"), ["video_id", "mid"])
 
 
 query("event_scores", "SELECT video_id, cast(sel_rank AS INT) AS sel_rank, s AS start_frame, e AS end_frame, round(s / 3.0, 3) AS start_sec, round((e + 1) / 3.0, 3) AS end_sec, round(sfs, 6) AS sfs FROM sel")(lambda s, d: _selected(s, d).select("video_id", "sel_rank", F.col("s").alias("start_frame"), F.col("e").alias("end_frame"), F.round(F.col("s") / 3.0, 3).alias("start_sec"), F.round((F.col("e") + 1) / 3.0, 3).alias("end_sec"), F.round("sfs", 6).alias("sfs")))
@@ -222,8 +196,8 @@ query("greedy_match", f"SELECT video_id, cast(len(m) AS BIGINT) AS n, {R('list_s
 query("convergence", f"SELECT {R('min(j)', 'jaccard')}, {R('max(g)', 'shift')}, min(j) > 0.98 AND max(g) < 0.5 AS converged FROM (SELECT len(m) / (2 * k - len(m)) AS j, list_avg(list_transform(m, lambda x: x.g)) AS g FROM ({_MAT}) JOIN (SELECT video_id, count(*) AS k FROM sel GROUP BY 1) USING (video_id))")(lambda s, d: refine.converged(refine.convergence(_selected(s, d), _next(s, d))).select(r(F.col("jaccard")).alias("jaccard"), r(F.col("shift")).alias("shift"), "converged"))
 
 
-def _pairs(s, d, w=False):
-    return evaluate.pairs(T.intervals(s, d, "pred", w), evaluate.merged_refs(T.intervals(s, d, "ref", w)))
+def _pairs(s, d):
+    return evaluate.pairs(T.intervals(s, d, "pred"), evaluate.merged_refs(T.intervals(s, d, "ref")))
 
 
 query("iou_seconds", f"SELECT video_id, event_id, {R('r_start')}, {R('iou')} FROM pairs")(lambda s, d: _pairs(s, d).select("video_id", "event_id", r(F.col("r_start")).alias("r_start"), r(F.col("iou")).alias("iou")))
@@ -234,34 +208,28 @@ _TOK = lambda x: f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+')"  # no
 _F1 = lambda a, b: "(SELECT coalesce(2 * sum(least(ca, cb)) / (sum(ca) + sum(cb)), 0) FROM (SELECT w, count(*) FILTER (side = 1) AS ca, count(*) FILTER (side = 2) AS cb FROM (SELECT unnest(" + _TOK(a) + ") AS w, 1 AS side UNION ALL SELECT unnest(" + _TOK(b) + "), 2) GROUP BY w))"
 query("token_f1", f"SELECT item_id AS key, {R(_F1('b.text', 'd.text'), 'f1')} FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")(lambda s, d: evaluate.token_f1(T.table(s, d, "benchmark").withColumnRenamed("text", "a").join(T.table(s, d, "documents").select("doc_id", F.col("text").alias("b")), F.col("item_id") == F.col("doc_id")).select(F.col("item_id").alias("key"), "a", "b"), "key", "a", "b").withColumn("f1", r(F.col("f1"))))
 _LOC = f"SELECT p.event_id, p.video_id, coalesce(max(f1), 0) AS f1 FROM pred p LEFT JOIN (SELECT event_id, {_F1('p_sentence', 's')} AS f1 FROM (SELECT event_id, p_sentence, unnest(sentences) AS s FROM pairs WHERE iou >= 0.5)) x ON x.event_id = p.event_id GROUP BY ALL"
-whole_query("localized_f1", f"SELECT event_id, {R('f1')} FROM ({_LOC})")(lambda s, d, w: evaluate.localized_f1(T.intervals(s, d, "pred", w), _pairs(s, d, w)).withColumn("f1", r(F.col("f1"))))
+query("localized_f1", f"SELECT event_id, {R('f1')} FROM ({_LOC})")(lambda s, d: evaluate.localized_f1(T.intervals(s, d, "pred"), _pairs(s, d)).withColumn("f1", r(F.col("f1"))))
 
 
-def _per_video(s, d, w=False):
+def _per_video(s, d):
     users = T.table(s, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video_id")).distinct()
-    return evaluate.per_video(T.intervals(s, d, "pred", w), T.intervals(s, d, "ref", w), users)
+    return evaluate.per_video(T.intervals(s, d, "pred"), T.intervals(s, d, "ref"), users)
 
 
 _PV = f"""SELECT v.video_id, coalesce(n_pred, 0) AS n_pred, coalesce(n_ref, 0) AS n_ref, 1 - coalesce(d, 0) / greatest(coalesce(n_pred, 0), 1) AS duplicate_fraction, coalesce(mb, 0) AS mean_best_iou, coalesce(r3, 0) AS recovered_30, coalesce(r5, 0) AS recovered_50, coalesce(r7, 0) AS recovered_70, coalesce(f, 0) AS f1_sum
     FROM (SELECT DISTINCT concat('u', user_id) AS video_id FROM events) v LEFT JOIN (SELECT video_id, count(*) AS n_pred, count(DISTINCT sentence) AS d FROM pred GROUP BY 1) USING (video_id)
     LEFT JOIN (SELECT video_id, count(*) AS n_ref, avg(best) AS mb, count(*) FILTER (best >= 0.3) AS r3, count(*) FILTER (best >= 0.5) AS r5, count(*) FILTER (best >= 0.7) AS r7 FROM best GROUP BY 1) USING (video_id) LEFT JOIN (SELECT video_id, sum(f1) AS f FROM ({_LOC}) GROUP BY 1) USING (video_id)"""
 _INT, _DBL = ("n_pred", "n_ref", "recovered_30", "recovered_50", "recovered_70"), ("duplicate_fraction", "mean_best_iou", "f1_sum")
-whole_query("eval_per_video", f"SELECT video_id, {', '.join(_INT)}, {', '.join(R(c) for c in _DBL)} FROM ({_PV})")(lambda s, d, w: _per_video(s, d, w).select("video_id", *_INT, *(r(F.col(c)).alias(c) for c in _DBL)))
-whole_query("eval_summary", f"SELECT count(*) AS videos, cast(sum(n_pred) AS BIGINT) AS n_pred, cast(sum(n_ref) AS BIGINT) AS n_ref, {R('avg(mean_best_iou)', 'mean_best_iou')}, {R('avg(duplicate_fraction)', 'duplicate_fraction')}, {R('sum(f1_sum) / greatest(sum(n_pred), 1)', 'token_f1')}, " + ", ".join(R(f"sum(recovered_{t}) / greatest(sum(n_ref), 1)", f"coverage_{t}") for t in (30, 50, 70)) + f" FROM ({_PV})")(lambda s, d, w: evaluate.summary(_per_video(s, d, w)).select("videos", "n_pred", "n_ref", *(r(F.col(c)).alias(c) for c in ("mean_best_iou", "duplicate_fraction", "token_f1", "coverage_30", "coverage_50", "coverage_70"))))
+query("eval_per_video", f"SELECT video_id, {', '.join(_INT)}, {', '.join(R(c) for c in _DBL)} FROM ({_PV})")(lambda s, d: _per_video(s, d).select("video_id", *_INT, *(r(F.col(c)).alias(c) for c in _DBL)))
+query("eval_summary", f"SELECT count(*) AS videos, cast(sum(n_pred) AS BIGINT) AS n_pred, cast(sum(n_ref) AS BIGINT) AS n_ref, {R('avg(mean_best_iou)', 'mean_best_iou')}, {R('avg(duplicate_fraction)', 'duplicate_fraction')}, {R('sum(f1_sum) / greatest(sum(n_pred), 1)', 'token_f1')}, " + ", ".join(R(f"sum(recovered_{t}) / greatest(sum(n_ref), 1)", f"coverage_{t}") for t in (30, 50, 70)) + f" FROM ({_PV})")(lambda s, d: evaluate.summary(_per_video(s, d)).select("videos", "n_pred", "n_ref", *(r(F.col(c)).alias(c) for c in ("mean_best_iou", "duplicate_fraction", "token_f1", "coverage_30", "coverage_50", "coverage_70"))))
 query("eval_validate", "SELECT count(*) FILTER (NOT (start >= 0 AND start < end_)) AS bad FROM ivl")(lambda s, d: T.intervals(s, d, "pred").union(T.intervals(s, d, "ref")).agg(F.count_if(~((F.col("start") >= 0) & (F.col("start") < F.col("end_")))).alias("bad")))
-whole_query("eval_matched")(lambda s, d, w: evaluate.micro(evaluate.summary(_per_video(s, d, w)), evaluate.matches(_pairs(s, d, w))))
+query("eval_matched")(lambda s, d: evaluate.micro(evaluate.summary(_per_video(s, d)), evaluate.matches(_pairs(s, d))))
 query("bipartite_match")(lambda s, d: evaluate.matches(_pairs(s, d)))
 
 
-@query("bootstrap_ci")
-def bootstrap(s, d):
-    values = [x["mean_best_iou"] for x in _per_video(s, d).select("video_id", "mean_best_iou").orderBy("video_id").collect()]
-    return s.createDataFrame([evaluate.bootstrap_interval(values)], "low double, high double")
-
-
+query("bootstrap_ci")(lambda s, d: s.createDataFrame([evaluate.interval_of_mean(_per_video(s, d), "mean_best_iou")], "low double, high double"))
 query("tokenize", f"SELECT item_id, list_count(w) AS n, w[1] AS first FROM (SELECT item_id, {_TOK('text')} AS w FROM benchmark)".replace("list_count(w)", "cast(len(w) AS BIGINT)"))(lambda s, d: T.table(s, d, "benchmark").select("item_id", text.tokens("text").alias("w")).select("item_id", F.size("w").cast("long").alias("n"), F.get("w", F.lit(0)).alias("first")))
-query("strip_text", "SELECT doc_id, regexp_replace(substring(text, 1, 40), '^\\s+|\\s+$', '', 'g') AS t FROM documents")(lambda s, d: T.table(s, d, "documents").select("doc_id", text.strip(F.substring("text", 1, 40)).alias("t")))
-query("strip_text_whole", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents")(lambda s, d: T.table(s, d, "documents").select("doc_id", text.strip("text").alias("t")))
+query("strip_text", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents")(lambda s, d: T.table(s, d, "documents").select("doc_id", text.strip("text").alias("t")))
 query("digest", "SELECT doc_id, sha256(text) AS sha256, sha1(concat('7:', doc_id)) AS sha1 FROM documents")(lambda s, d: T.table(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.sha1(F.concat(F.lit("7:"), F.col("doc_id").cast("string")).cast("binary")).alias("sha1")))
 query("json_roundtrip", "SELECT event_id, cast(json_extract(props, '$.k') AS BIGINT) AS k FROM events")(lambda s, d: T.table(s, d, "events").select("event_id", F.from_json(F.to_json(F.from_json("props", "struct<k:bigint>")), "struct<k:bigint>")["k"].alias("k")))
 query("parse_frame_rate", "SELECT o_orderkey AS id, round(coalesce(CASE WHEN k = 0 THEN 30000 / 1001.0 WHEN k = 1 THEN 25.0 WHEN k = 2 THEN 0.0 ELSE 0.0 END, 0)::DOUBLE, 6) AS fps FROM (SELECT o_orderkey, o_orderkey % 4 AS k FROM orders)")(lambda s, d: T.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), r(text.frame_rate(F.element_at(F.array(*map(F.lit, ("30000/1001", "25", "0/0", "x"))), (F.col("o_orderkey") % 4 + 1).cast("int")))).alias("fps")))
@@ -273,9 +241,30 @@ query("except_ids", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labe
 query("det_sample", "SELECT c_custkey AS id FROM customer ORDER BY sha256(concat('42:', c_custkey)) LIMIT 50")(lambda s, d: files.sampled_ids(T.table(s, d, "customer").select(F.col("c_custkey").alias("id")), 50))
 query("limit_n", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10")(lambda s, d: T.table(s, d, "customer").select("c_custkey").orderBy("c_custkey").limit(10))
 query("densify_scatter", "SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")(lambda s, d: T.table(s, d, "documents").select("doc_id").join(T.table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality")))
-query("scan_frames", "SELECT video_id, t, cast(len(h) AS INT) AS dim FROM frames")(lambda s, d: T.frames(s, d).select("video_id", "t", F.size("h").alias("dim")))
-whole_query("scan_captions", "SELECT video_id, t, caption FROM caps")(lambda s, d, w: T.captions(s, d, whole=w))
-query("scan_manifest", "SELECT video_id, category, round(duration, 6) AS duration FROM videos")(lambda s, d: files.checked_ids(T.videos(s, d)).select("video_id", "category", F.round("duration", 6).alias("duration")))
+
+
+@query("scan_frames", f"SELECT video_id, t, cast(len(h) AS INT) AS dim, {R('h[1]', 'first')}, {R('h[64]', 'last')} FROM frames")
+def scan_frames(s, d):
+    """Every video as an array file's bytes, read back."""
+    return files.decoded_frames(files.encoded_frames(T.frames(s, d))).select("video_id", "t", F.size("h").alias("dim"), r(F.col("h")[0].cast("double")).alias("first"), r(F.col("h")[63].cast("double")).alias("last"))
+
+
+@query("scan_captions", "SELECT video_id, t, caption FROM caps")
+def scan_captions(s, d):
+    """Every video's captions as a JSON list (of lists for every second video), read back."""
+    lists = T.captions(s, d).groupBy("video_id").agg(F.expr("transform(array_sort(collect_list(struct(t, caption))), x -> x.caption)").alias("x"))
+    nested = F.to_json(F.transform("x", lambda x: F.array(x)))
+    written = lists.select("video_id", F.when(F.crc32("video_id") % 2 == 0, F.to_json("x")).otherwise(nested).alias("value"))
+    return files.decoded_captions(written)
+
+
+@query("scan_manifest", "SELECT video_id, category, round(duration, 6) AS duration FROM videos")
+def scan_manifest(s, d):
+    """The videos as a manifest of one object a row, read back."""
+    entry = F.struct(F.col("video_id").alias("id"), "duration", "category")
+    written = T.videos(s, d).select(F.to_json(F.struct(F.array(entry).alias("videos"))).alias("value"))
+    return files.manifest_entries(written).select("video_id", "category", F.round("duration", 6).alias("duration"))
+
 
 @query(
     "resolve_path",
@@ -306,7 +295,7 @@ query("synth_frames")(lambda s, d: files.synthetic_frames(s))
 
 
 def _corpus(s, d):
-    return plan.Corpus(T.frames(s, d), T.captions(s, d, whole=True), T.text_feats(s, d), T.videos(s, d).drop("category_id"))
+    return plan.Corpus(T.frames(s, d), T.captions(s, d), T.text_feats(s, d), T.videos(s, d).drop("category_id"))
 
 
 def _generated(s, d):

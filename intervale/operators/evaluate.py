@@ -121,6 +121,41 @@ def micro(whole: DataFrame, found: DataFrame, thresholds: tuple[float, ...] = (0
     return whole.join(F.broadcast(tp)).select(*whole.columns, *tp.columns, *sum(rates, []))
 
 
+def with_matches(rows: DataFrame, found: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7)) -> DataFrame:
+    """`per_video` rows with tp at each threshold, by the matchings `found` (of `matches`)."""
+    tp = found.groupBy("video_id").agg(*(F.max(F.when(F.col("threshold") == t, F.col("tp"))).alias(f"tp_{int(t * 100)}") for t in thresholds))
+    return rows.join(tp, "video_id", "left").select(*rows.columns, *(F.coalesce(c, F.lit(0)).alias(c) for c in tp.columns[1:]))
+
+
+def validated(pred: DataFrame, entries: DataFrame) -> DataFrame:
+    """`entries` (video_id, ref_duration, duration: the prediction's or else the reference's) with duration_difference; predicted intervals
+    that are empty or outside their video's duration raise."""
+    limit = F.coalesce("limit", F.lit(float("inf"))) + 0.001
+    joined = pred.join(entries.select("video_id", F.col("duration").alias("limit")), "video_id")
+    bad = joined.where(~((F.col("start") >= 0) & (F.col("start") < F.col("end_")) & (F.col("end_") <= limit))).orderBy("video_id", "start", "end_").first()
+    if bad is not None:
+        raise ValueError(f"invalid interval of {bad['video_id']}: {bad['start']} to {bad['end_']}")
+    return entries.select("video_id", (F.col("duration") - F.col("ref_duration")).alias("duration_difference"))
+
+
+#: Videos up to which the resampled values themselves are drawn; beyond, counts of values rounded to BIN.
+EXACT_VIDEOS, BIN = 1_000_000, 1e-4
+
+
+def interval_of_mean(rows: DataFrame, column: str, replicates: int = 2000, seed: int = 42) -> tuple[float, float]:
+    """Bootstrap bounds of the mean of `column` over `per_video` rows.
+
+    Up to EXACT_VIDEOS values reach the driver; of more, 1 / BIN + 1 counts, whose resampling is one multinomial draw a replicate.
+    """
+    if rows.count() <= EXACT_VIDEOS:
+        return bootstrap_interval([r[0] for r in rows.orderBy("video_id").select(column).collect()], replicates, seed)
+    counts = rows.groupBy(F.round(F.col(column) / BIN).cast("long").alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
+    value, n = np.array([r["bin"] for r in counts]) * BIN, np.array([r["n"] for r in counts])
+    rng = np.random.default_rng(seed)
+    means = np.array([rng.multinomial(n.sum(), n / n.sum()) @ value / n.sum() for _ in range(replicates)])
+    return float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975))
+
+
 def bootstrap_interval(values: list[float], replicates: int = 2000, seed: int = 42) -> tuple[float, float]:
     """The 2.5 % and 97.5 % quantiles of resampled means; values are one a video, on the driver."""
     x = np.asarray(values, float)

@@ -9,14 +9,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Text that is no JSON of the asked shape raises.
+STRICT = {"mode": "FAILFAST"}
 SUFFIXES = ("mp4", "mkv", "webm", "avi", "mov")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """video_id, duration, category, path of a JSON list of entries, or of `videos` in an object. Missing or repeated ids raise."""
+    return manifest_entries(spark.read.text(path, wholetext=True))
+
+
+def manifest_entries(raw: DataFrame) -> DataFrame:
+    """The same of column `value`."""
     record = "struct<id:string,duration:double,category:string,path:string>"
-    raw = spark.read.text(path, wholetext=True)
-    listed = F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{record}>")).otherwise(F.from_json("value", f"struct<videos:array<{record}>>")["videos"])
+    is_list = F.ltrim("value").startswith("[")
+    listed = F.coalesce(F.from_json(F.when(is_list, F.col("value")), f"array<{record}>", STRICT), F.from_json(F.when(~is_list, F.col("value")), f"struct<videos:array<{record}>>", STRICT)["videos"])
     out = raw.select(F.explode(listed).alias("v")).select(F.col("v.id").alias("video_id"), F.nullif(F.col("v.duration"), F.lit(0.0)).alias("duration"), "v.category", "v.path")
     return checked_ids(out)
 
@@ -34,6 +41,12 @@ def _file_id(suffix: str) -> Column:
 
 def frame_arrays(spark: SparkSession, folder: str) -> DataFrame:
     """video_id, t, h of the .npy files of a folder; a third axis keeps its first entry."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder)
+    return decoded_frames(files.select(_file_id("npy").alias("video_id"), "content"))
+
+
+def decoded_frames(arrays: DataFrame) -> DataFrame:
+    """The same of video_id and content, an array file's bytes."""
 
     def rows(batches):
         for b in batches:
@@ -44,23 +57,50 @@ def frame_arrays(spark: SparkSession, folder: str) -> DataFrame:
                     raise ValueError(f"{video}: not a finite matrix")
                 yield pd.DataFrame({"video_id": video, "t": np.arange(len(a), dtype=np.int32), "h": list(a.astype(np.float32))})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder)
-    return files.select(_file_id("npy").alias("video_id"), "content").mapInPandas(rows, "video_id string, t int, h array<float>")
+    return arrays.mapInPandas(rows, "video_id string, t int, h array<float>")
+
+
+def encoded_frames(frames: DataFrame) -> DataFrame:
+    """video_id, content: each video's frames as an array file's bytes."""
+
+    def rows(g: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        np.save(out, np.stack(g.sort_values("t").h.to_numpy()).astype(np.float32))
+        return pd.DataFrame({"video_id": [g.video_id.iloc[0]], "content": [out.getvalue()]})
+
+    return frames.select("video_id", "t", "h").groupBy("video_id").applyInPandas(rows, "video_id string, content binary")
 
 
 def caption_lists(spark: SparkSession, folder: str) -> DataFrame:
     """video_id, t, caption of JSON lists of strings or of lists of strings (their first)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select(_file_id("json").alias("video_id"), F.decode("content", "UTF-8").alias("j"))
-    nested = F.from_json("j", "array<array<string>>")
-    lists = F.coalesce(F.when(F.get(nested, F.lit(0)).isNotNull(), F.transform(nested, lambda x: F.get(x, F.lit(0)))), F.from_json("j", "array<string>"))
-    return files.select("video_id", F.posexplode(lists).alias("t", "caption"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    return decoded_captions(files.select(_file_id("json").alias("video_id"), F.decode("content", "UTF-8").alias("value")))
+
+
+def decoded_captions(lists: DataFrame) -> DataFrame:
+    """The same of video_id and value, a list's JSON."""
+    is_nested = F.col("value").rlike(r"^\s*\[\s*\[")
+    nested = F.from_json(F.when(is_nested, F.col("value")), "array<array<string>>", STRICT)
+    plain = F.from_json(F.when(~is_nested, F.col("value")), "array<string>", STRICT)
+    return lists.select("video_id", F.posexplode(F.coalesce(F.transform(nested, lambda x: F.get(x, F.lit(0))), plain)).alias("t", "caption"))
 
 
-def interval_map(json: DataFrame) -> DataFrame:
-    """video_id, ord, start, end_, sentence, duration of column `value`: an object of videos with aligned timestamps and sentences."""
+def interval_entries(json: DataFrame) -> DataFrame:
+    """video_id, duration, timestamps, sentences of column `value`: an object of videos; those without intervals too."""
     entry = "map<string,struct<duration:double,timestamps:array<array<double>>,sentences:array<string>>>"
-    one = json.select(F.explode(F.from_json("value", entry)).alias("video_id", "v"))
-    return one.select("video_id", "v.duration", F.posexplode(F.arrays_zip(F.col("v.timestamps").alias("ts"), F.col("v.sentences").alias("st"))).alias("ord", "x")).select("video_id", "ord", F.col("x.ts")[0].alias("start"), F.col("x.ts")[1].alias("end_"), F.col("x.st").alias("sentence"), "duration")
+    one = json.select(F.explode(F.from_json("value", entry, STRICT)).alias("video_id", "v"))
+    return one.select("video_id", "v.duration", F.coalesce("v.timestamps", F.array().cast("array<array<double>>")).alias("timestamps"), F.coalesce("v.sentences", F.array().cast("array<string>")).alias("sentences"))
+
+
+def interval_map(json: DataFrame, aligned: bool = True) -> DataFrame:
+    """video_id, ord, start, end_, sentence, duration of column `value`: an object of videos with aligned timestamps and
+    sentences; with `aligned`, other sizes raise when the rows are read."""
+    one = interval_entries(json)
+    if aligned:
+        sized = F.when(F.size("timestamps") == F.size("sentences"), F.col("timestamps")).otherwise(F.raise_error(F.concat(F.lit("misaligned captions: "), "video_id")).cast("array<array<double>>"))
+        one = one.withColumn("timestamps", sized)
+    both = F.arrays_zip(F.col("timestamps").alias("ts"), F.slice("sentences", F.lit(1), F.size("timestamps")).alias("st"))
+    return one.select("video_id", "duration", F.posexplode(both).alias("ord", "x")).select("video_id", "ord", F.col("x.ts")[0].alias("start"), F.col("x.ts")[1].alias("end_"), F.col("x.st").alias("sentence"), "duration")
 
 
 def sampled_ids(ids: DataFrame, n: int, seed: int = 42) -> DataFrame:

@@ -28,17 +28,15 @@ def videos(spark: SparkSession, sf_dir: str, size: int = SHORT) -> DataFrame:
     return e.select(_video(size=size).alias("video_id"), F.concat(F.lit("cat"), F.col("label").cast("string")).alias("category"), (F.lit(float(size)) / 3).alias("duration"), (F.col("label") % 3).cast("int").alias("category_id"))
 
 
-def _documents(spark: SparkSession, sf_dir: str, chars: int, whole: bool) -> tuple[DataFrame, int]:
-    """doc_id, said (a line of the text) and the number of documents: of the first 200 and their first `chars` characters, or of all and whole."""
+def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """doc_id, said (the text as one line) of all documents, and their number."""
     d = table(spark, sf_dir, "documents")
-    n = d.count() if whole else 200
-    some = d if whole else d.where(F.col("doc_id") < n)
-    return some.select("doc_id", F.trim(F.translate("text" if whole else F.substring("text", 1, chars), "\n", " ")).alias("said")), n
+    return d.select("doc_id", F.trim(F.translate("text", "\n", " ")).alias("said")), d.count()
 
 
-def captions(spark: SparkSession, sf_dir: str, size: int = SHORT, whole: bool = False) -> DataFrame:
-    """video_id, t, caption; `whole`: of all documents and whole texts."""
-    e, (d, n) = table(spark, sf_dir, "embeddings"), _documents(spark, sf_dir, 60, whole)
+def captions(spark: SparkSession, sf_dir: str, size: int = SHORT) -> DataFrame:
+    """video_id, t, caption."""
+    e, (d, n) = table(spark, sf_dir, "embeddings"), _documents(spark, sf_dir)
     return e.join(d, F.col("doc_id") == F.col("vec_id") % n).select(_video(size=size).alias("video_id"), (F.col("vec_id") % size).cast("int").alias("t"), F.col("said").alias("caption"))
 
 
@@ -60,10 +58,10 @@ def boundary_prob(spark: SparkSession, sf_dir: str, size: int = SHORT) -> DataFr
     return e.select(_video(size=size).alias("video_id"), (F.col("vec_id") % size).cast("int").alias("t"), (((F.col("vec_id") * 37) % 101).cast("double") / 101).alias("b"))
 
 
-def intervals(spark: SparkSession, sf_dir: str, which: str, whole: bool = False) -> DataFrame:
-    """video_id, event_id, start, end_, sentence of `pred` (even events) or `ref` (odd ones); `whole`: of all documents and whole texts."""
+def intervals(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """video_id, event_id, start, end_, sentence of `pred` (even events) or `ref` (odd ones)."""
     e = table(spark, sf_dir, "events").where(F.col("event_id") % 2 == (0 if which == "pred" else 1))
-    d, n = _documents(spark, sf_dir, 80, whole)
+    d, n = _documents(spark, sf_dir)
     start = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
     sentence = F.concat("event_type", F.lit(" "), "said")
     out = e.join(d, F.col("doc_id") == F.col("event_id") % n)
