@@ -110,10 +110,39 @@ def shingles(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(got + length.astype(np.uint64)), out
 
 
+def long_shingles(row: np.ndarray, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """The same of one long row, by pieces that end with a word and begin with the last four of the piece before.
+
+    A piece is longer only where a word is, or where it has fewer than five.
+    """
+    n, a, size = len(row), 0, piece
+    while a < n:
+        b = a + size
+        while b < n and not (gaps := np.flatnonzero(~_IN_WORD[row[b : b + piece]])).size:
+            b += piece
+        b = min(n, b + int(gaps[0])) if b < n else n
+        part, at = row[a:b], np.array([0, b - a])
+        starts, _, _ = word_spans(part, at)
+        if len(starts) < SHINGLE:
+            if b == n:
+                if a == 0:
+                    yield shingles(part, at)[0]
+                return
+            size = b - a + piece
+            continue
+        yield shingles(part, at)[0]
+        a, size = a + int(starts[1 - SHINGLE]), piece
+        if b == n:
+            return
+
+
 def shingle_sets(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
     """Each row's sorted distinct shingle hashes."""
     flat, offsets = texts_of(column)
     for i, j, part, at in pieces(flat, offsets):
+        if len(part) > 2 * PIECE:  # one long row
+            yield np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, long_shingles(part))]))
+            continue
         got, out = shingles(part, at)
         for k in range(j - i):
             yield np.unique(got[out[k] : out[k + 1]])
