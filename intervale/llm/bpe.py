@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intervale.llm.memory import trimmed
 from intervale.llm.word_codes import WordCodes, byte_symbols
 
 BATCH_TEXTS = 256
@@ -133,7 +134,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<long>, decoded string" * ids
-    return rows.mapInArrow(code, schema + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in extra))
+    return rows.mapInArrow(trimmed(code), schema + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in extra))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale.llm.flat import mix, pieces, shingle_sets, shingles, texts_of
+from intervale.llm.memory import trimmed
 from intervale.llm.scratch import Scratch
 
 #: Items whose sets together stay below this many shingles (8 bytes each) are sent to every worker; beyond it, sketches and documents meet in joins.
@@ -89,7 +90,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, sent: int
     scratch = Scratch(spark, "items")
     text = F.col("text").cast("string").alias("text")
     schema = "item_id long, set array<long>, part int, least array<long>"
-    index = scratch.table(items.select(F.col("item_id").cast("long").alias("item_id"), text).mapInArrow(item_rows(percent), schema), "index")
+    index = scratch.table(items.select(F.col("item_id").cast("long").alias("item_id"), text).mapInArrow(trimmed(item_rows(percent)), schema), "index")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
     size = index.agg(F.sum(F.size("set")).alias("n")).first()["n"] or 0
     out = "doc_id long, item_id long, n_shared long, n_item long"
@@ -102,7 +103,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, sent: int
     flat = index.select(F.monotonically_increasing_id().alias("item"), "*")
     flat = scratch.table(flat, "numbered")
     keyed = scratch.table(rows.select("*", F.xxhash64("doc_id", "text").alias("row")), "rows")
-    bound = flat.select(F.explode("least").alias("h")).mapInArrow(_greatest, "most long").agg(F.max("most")).first()[0]
+    bound = flat.select(F.explode("least").alias("h")).mapInArrow(trimmed(_greatest), "most long").agg(F.max("most")).first()[0]
     probes = keyed.select("row", "text").distinct().mapInArrow(lambda batches: _under(batches, bound), "row long, h long")
     pairs = probes.join(flat.select("item", F.explode("least").alias("h")), "h").select("row", "item").distinct()
     pairs = scratch.table(pairs, "pairs")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from intervale.llm.components import components
 from intervale.llm.flat import mix, shingle_sets
+from intervale.llm.memory import trimmed
 from intervale.llm.scratch import Scratch
 
 BINS, ROWS = 504, 7
@@ -132,7 +133,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.table(texts.mapInArrow(_set_rows, "doc_id long, n long, low long, high long, keys array<long>, bits array<long>"), "sets")
+    sets = scratch.table(texts.mapInArrow(trimmed(_set_rows), "doc_id long, n long, low long, high long, keys array<long>, bits array<long>"), "sets")
 
     # one class for equal sets; its least doc_id stands for it
     classes = scratch.table(
@@ -154,7 +155,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         some = scratch.table(texts.join(wanted, "doc_id", "left_semi").distinct(), f"{name}-texts")
         one = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         two = one.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        out = scratch.table(two.mapInArrow(_confirm(percent, 100), "a long, b long"), name)
+        out = scratch.table(two.mapInArrow(trimmed(_confirm(percent, 100)), "a long, b long"), name)
         scratch.drop(f"{name}-pairs", f"{name}-texts", f"{name}-wanted")
         return out
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale.llm.flat import mix, pieces, texts_of, word_hashes, word_spans
+from intervale.llm.memory import trimmed
 
 PASSAGE = 48
 PAIRS = 256
@@ -189,7 +190,7 @@ def score_documents(docs: DataFrame, model: AttentionModel | None, keep: list[st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *batch.columns[2:]], ["doc_id", "score", "predicted", *extra])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *extra)
-    return rows.mapInArrow(score, "doc_id long, score double, predicted int" + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in extra))
+    return rows.mapInArrow(trimmed(score), "doc_id long, score double, predicted int" + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in extra))
 
 
 def held_out(column: str = "doc_id"):

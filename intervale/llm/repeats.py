@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale.llm.flat import PIECE, mix, pieces, powers, texts_of
+from intervale.llm.memory import trimmed
 from intervale.llm.scratch import Scratch
 from intervale.llm.skew import counted_join
 
 LENGTH, GRAM = 200, 100
 #: Most contexts of one group in a text.
-GROUP = 4096
+GROUP = 2048
 #: Bytes of contexts in one transform, about.
 TEXT_BYTES = 1 << 18
 _U = np.uint64
@@ -342,7 +343,7 @@ def small_groups(contexts: DataFrame, scratch: Scratch, length: int, gram: int,
     open_ = contexts.where(F.col("k") > most).select(F.col("h").alias("key"), F.lit(0).alias("low"), F.lit(length - gram).alias("high"), "h", "c", "place", "context")
     step, width = 0, length - gram + 1
     while width > 1 and not open_.isEmpty():
-        cut = scratch.table(open_.mapInArrow(_half_rows(length), _GROUPED_DDL), f"half{step}")
+        cut = scratch.table(open_.mapInArrow(trimmed(_half_rows(length)), _GROUPED_DDL), f"half{step}")
         n = scratch.table(cut.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), f"half{step}-counts")
         sized = scratch.table(counted_join(cut, n, ["key"], "k"), f"half{step}-sized")
         scratch.drop(f"half{step}")
@@ -365,7 +366,7 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
     `docs`: doc_id, mark, text. Rows alike in doc_id and text have the same spans.
     """
     reach = length - gram
-    all_anchors = scratch.table(docs.select("doc_id", "mark", "text").mapInArrow(_anchor_rows(length, gram), "doc_id long, mark long, pos int, h long, c long"), "anchors")
+    all_anchors = scratch.table(docs.select("doc_id", "mark", "text").mapInArrow(trimmed(_anchor_rows(length, gram)), "doc_id long, mark long, pos int, h long, c long"), "anchors")
     again = scratch.table(all_anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "again")
     met = scratch.table(counted_join(all_anchors, again, ["h"], "n").drop("n"), "met")
     scratch.drop("anchors", "again")
@@ -374,10 +375,10 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
     wanted = counted_join(groups.select("h", "c", "one"), several, ["h"], "k").select("h", "c", "k", "one.*")
     asked = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "c", "k", "pos")).alias("wanted"))
     texts = docs.alias("d").join(asked.alias("a"), F.expr("d.mark = a.mark and d.doc_id <=> a.doc_id")).select("d.text", "a.wanted")
-    contexts = scratch.table(texts.mapInArrow(_context_rows(length, gram), "h long, c long, k long, place int, context binary").dropDuplicates(["h", "c"]), "contexts")
+    contexts = scratch.table(texts.mapInArrow(trimmed(_context_rows(length, gram)), "h long, c long, k long, place int, context binary").dropDuplicates(["h", "c"]), "contexts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = small_groups(contexts, scratch, length, gram, group).repartition(parts, "key").sortWithinPartitions("key", "c")
-    found = dealt.mapInArrow(_transform_rows(length, gram), "h long, c long, least int, most int")
+    found = dealt.mapInArrow(trimmed(_transform_rows(length, gram)), "h long, c long, least int, most int")
     whole = groups.where("n > 1").select("h", "c", F.lit(0).alias("least"), F.lit(reach).alias("most"))
     offsets = scratch.table(found.unionByName(whole).groupBy("h", "c").agg(F.min("least").alias("least"), F.max("most").alias("most")), "offsets")
     placed = scratch.table(offsets.join(groups.select("h", "c", "n"), ["h", "c"]), "placed")
@@ -418,7 +419,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
             yield pa.RecordBatch.from_arrays([*cols, *batch.columns[3:]], [*names, *extra])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * text
-    return joined.mapInArrow(cut, schema + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in extra))
+    return joined.mapInArrow(trimmed(cut), schema + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in extra))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intervale.llm.memory import trimmed
+
 #: Texts of more characters are chunked.
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 10
@@ -107,7 +109,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, chunk: int =
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(trimmed(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

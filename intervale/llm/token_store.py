@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from intervale.llm.memory import trimmed
 from intervale.llm.scratch import Scratch, filesystem
 from intervale.llm.word_codes import library_words
 
@@ -155,7 +156,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "part int, seq int, path string, docs long, tokens long")
+    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(trimmed(write), "part int, seq int, path string, docs long, tokens long")
 
 
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
@@ -184,7 +185,7 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return based.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartition(n, "path").mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_store(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

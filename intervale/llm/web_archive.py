@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intervale.llm.memory import trimmed
 from intervale.llm.scratch import Scratch, filesystem
 
 #: Payloads below this many bytes are never revisits.
@@ -199,7 +200,7 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
         if package is not None:
             yield finish()
 
-    return pages.select("page_id", "url", "html", "size", "digest", "refers_to").mapInArrow(write, "path string, records long")
+    return pages.select("page_id", "url", "html", "size", "digest", "refers_to").mapInArrow(trimmed(write), "path string, records long")
 
 
 def read_packages(files: DataFrame, folder: str) -> DataFrame:
@@ -223,7 +224,7 @@ def read_packages(files: DataFrame, folder: str) -> DataFrame:
                         rows.append({"page_id": page and int(page), "payload_bytes": size, "payload_digest": digest, "record_type": h["WARC-Type"], "refers_to": refers and int(refers)})
                 yield from pa.Table.from_pylist(rows, schema).to_batches()
 
-    return files.select("path").repartition(n, "path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.select("path").repartition(n, "path").mapInArrow(trimmed(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:

@@ -23,7 +23,7 @@ from intervale.llm.pretoken import parts, word_starts
 #: Words kept between groups; beyond it the table starts anew.
 KEPT_WORDS = 1 << 20
 GROUP, LONG = 1 << 18, 64
-_SLOT_BITS = 22
+_SLOT_BITS = 21
 _U = np.uint64
 #: Encodes words to all their ids in order and the number of ids of each.
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
