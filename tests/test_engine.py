@@ -1,3 +1,4 @@
+import inspect
 import json
 import random
 
@@ -349,3 +350,7 @@ def test_every_key_of_the_inventory_is_registered():
     for name in ("tiou_pairs", "scan_manifest", "scan_frames", "bipartite_match", "refine_round", "round_history", "boundary_prob", "kmeans_types", "silhouette"):
         assert name in catalog.QUERIES
     assert all(name in catalog.QUERIES for name in catalog.ORACLES)
+
+
+def test_every_query_takes_a_session_and_a_folder():
+    assert all(len(inspect.signature(f).parameters) == 2 for f in catalog.QUERIES.values())
