@@ -14,16 +14,18 @@ window minimiser, the leftmost of equal hashes), so equal strings meet at equal
 4. the strings found become spans of their documents, and the spans' union is cut.
 
 A gram with more than GROUP contexts is halved by the strings' distances from the anchor: all strings of a half have
-a longer part in common, by which contexts are told apart; a context alone with its part has no repeat there. Groups still too large
-are halved again. At a single distance the strings of a group are equal, so that it may be dealt to texts as
-one likes. Every group goes through the transform, and none is larger than GROUP contexts. Keys that hold
-more than a small share of all rows are joined by a broadcast of those keys (`skew`), others by a shuffle.
+a longer part in common, by which contexts are told apart; a context alone with its part has no repeat there. Contexts that
+are alike in all bytes of a half become one again (every string in them repeats there) and one of them stands for all in what
+follows. Groups still of more than GROUP different ones are halved again; at a single distance the strings of a group are
+equal, so that one is left. A context is thus in few groups, whatever their sizes, and none is larger than GROUP.
+Keys that hold more than a small share of all rows are joined by a broadcast of those keys (`skew`), others by a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -250,7 +252,8 @@ def halves(low: int, high: int) -> list[tuple[int, int]]:
 
 
 def _half_rows(length: int):
-    """Groups' contexts to those of both halves of their distances, cut to the strings there, with a key of the part in common."""
+    """Groups' contexts to those of both halves of their distances, cut to the strings there, with a key of the part in common
+    and a digest of all bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,15 +264,17 @@ def _half_rows(length: int):
                     if near <= far:
                         start = place - far
                         common = hashlib.blake2b(context[place - a : place - b + length], digest_size=8, key=f"{h},{a},{b}".encode()).digest()
-                        out.append((int.from_bytes(common, "little", signed=True), a, b, h, c, far, context[start : place - near + length]))
-            cols = list(zip(*out, strict=True)) if out else [()] * 7
+                        cut = context[start : place - near + length]
+                        same = hashlib.blake2b(cut, digest_size=8, key=b"%d" % far).digest()
+                        out.append((int.from_bytes(common, "little", signed=True), int.from_bytes(same, "little", signed=True), a, b, h, c, far, cut))
+            cols = list(zip(*out, strict=True)) if out else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, _GROUPED.types, strict=True)], schema=_GROUPED)
 
     return rows
 
 
-_GROUPED = pa.schema([("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("place", pa.int32()), ("context", pa.binary())])
-_GROUPED_DDL = "key long, low int, high int, h long, c long, place int, context binary"
+_GROUPED = pa.schema([("key", pa.int64()), ("same", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("place", pa.int32()), ("context", pa.binary())])
+_GROUPED_DDL = "key long, same long, low int, high int, h long, c long, place int, context binary"
 
 
 def likely(rows: list[tuple], length: int, gram: int) -> list[tuple]:
@@ -334,30 +339,29 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def small_groups(contexts: DataFrame, scratch: Scratch, length: int, gram: int, most: int) -> DataFrame:
-    """key, h, c, place, context of groups of about `most` contexts at most in which any two equal strings at one distance meet.
+def small_groups(contexts: DataFrame, scratch: Scratch, length: int, gram: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """key, h, c, place, context of groups of `most` contexts at most in which any two equal strings at one distance meet, but
+    for strings of contexts alike in a half: tables h, c, least, most of those.
 
     `contexts`: h, c, k (contexts of the gram), place, context.
     """
+    columns = ["key", "low", "high", "h", "c", "place", "context"]
     ready = contexts.where(F.col("k") <= most).select(F.col("h").alias("key"), "h", "c", "place", "context")
     open_ = contexts.where(F.col("k") > most).select(F.col("h").alias("key"), F.lit(0).alias("low"), F.lit(length - gram).alias("high"), "h", "c", "place", "context")
-    step, width = 0, length - gram + 1
+    alike, step, width = [], 0, length - gram + 1
     while width > 1 and not open_.isEmpty():
         cut = scratch.table(open_.mapInArrow(trimmed(_half_rows(length)), _GROUPED_DDL), f"half{step}")
-        n = scratch.table(cut.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), f"half{step}-counts")
-        sized = scratch.table(counted_join(cut, n, ["key"], "k"), f"half{step}-sized")
-        scratch.drop(f"half{step}")
+        classes = scratch.table(cut.groupBy("key", "same").agg(F.count("*").alias("n"), F.min(F.struct("h", "c", "low", "high", "place", "context")).alias("x")), f"half{step}-classes")
+        of_several = classes.where("n > 1").select("key", "same", "n")
+        reach = cut.select("key", "same", "h", "c", (F.col("place") + length - F.octet_length("context")).alias("least"), F.col("place").alias("most"))
+        alike.append(scratch.table(counted_join(reach, of_several, ["key", "same"], "n").select("h", "c", "least", "most"), f"half{step}-alike"))
+        k = scratch.table(classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), f"half{step}-counts")
+        sized = scratch.table(counted_join(classes.select("key", "x.*").select(*columns), k, ["key"], "k"), f"half{step}-sized")
+        scratch.drop(f"half{step}", f"half{step}-classes")
         ready = ready.unionByName(sized.where(F.col("k") <= most).select("key", "h", "c", "place", "context"))
-        # at one distance all strings of a group are equal: any texts of it will do, each with the least context beside its own
-        single = F.col("low") == F.col("high")
-        alone = sized.where((F.col("k") > most) & single).withColumn("texts", F.ceil(2 * F.col("k") / most))
-        one = alone.groupBy("key", "texts").agg(F.min(F.struct("c", "h", "place", "context")).alias("x"))
-        beside = one.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("texts") - 1)).alias("text"), "x.h", "x.c", "x.place", "x.context")
-        dealt = alone.withColumn("text", F.pmod(F.xxhash64("c"), "texts")).select(*beside.columns).unionByName(beside)
-        ready = ready.unionByName(dealt.select(F.xxhash64("key", "text").alias("key"), "h", "c", "place", "context"))
-        open_ = sized.where((F.col("k") > most) & ~single).drop("k")
+        open_ = sized.where(F.col("k") > most).drop("k")
         width, step = (width + 1) // 2, step + 1
-    return ready
+    return ready, alike
 
 
 def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -377,10 +381,11 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
     texts = docs.alias("d").join(asked.alias("a"), F.expr("d.mark = a.mark and d.doc_id <=> a.doc_id")).select("d.text", "a.wanted")
     contexts = scratch.table(texts.mapInArrow(trimmed(_context_rows(length, gram)), "h long, c long, k long, place int, context binary").dropDuplicates(["h", "c"]), "contexts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = small_groups(contexts, scratch, length, gram, group).repartition(parts, "key").sortWithinPartitions("key", "c")
+    small, alike = small_groups(contexts, scratch, length, gram, group)
+    dealt = small.repartition(parts, "key").sortWithinPartitions("key", "c")
     found = dealt.mapInArrow(trimmed(_transform_rows(length, gram)), "h long, c long, least int, most int")
     whole = groups.where("n > 1").select("h", "c", F.lit(0).alias("least"), F.lit(reach).alias("most"))
-    offsets = scratch.table(found.unionByName(whole).groupBy("h", "c").agg(F.min("least").alias("least"), F.max("most").alias("most")), "offsets")
+    offsets = scratch.table(reduce(DataFrame.unionByName, alike, found.unionByName(whole)).groupBy("h", "c").agg(F.min("least").alias("least"), F.max("most").alias("most")), "offsets")
     placed = scratch.table(offsets.join(groups.select("h", "c", "n"), ["h", "c"]), "placed")
     spans = counted_join(met, placed, ["h", "c"], "n").select("doc_id", "mark", F.struct((F.col("pos") - F.col("most")).alias("s"), (F.col("pos") - F.col("least") + length).alias("e")).alias("span"))
     return spans.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans"))
