@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 21
+PIECE = 1 << 18
 SHINGLE = 5
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
