@@ -121,9 +121,9 @@ def _judged(points: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
 
 
 def _settled(table: DataFrame, groups: int, scratch: Scratch, name: str) -> DataFrame:
-    """`table` (a row a group) computed once: on the driver up to SENT_GROUPS rows, else in the shared folder."""
+    """`table` (a row a group) computed once: on the driver up to SENT_GROUPS rows, as a local relation that further plans begin with, else in the shared folder."""
     if groups <= SENT_GROUPS:
-        return table.sparkSession.createDataFrame(table.collect(), table.schema)
+        return table.sparkSession.createDataFrame(table.toArrow(), table.schema)
     return scratch.table(table, name)
 
 
@@ -144,23 +144,33 @@ def _estimate(sums: DataFrame, factor: float, keep: tuple[str, ...]) -> DataFram
     """`keep`, means, inverse Cholesky factor of factor * covariance + floors, and the logarithm of the determinant of these."""
     n = F.col("n").cast("double")
     d = lambda c: F.col(c).cast("double")
-    out = sums.select(*keep, *((d(f"s{i}") / n / SCALE).alias(f"m{i}") for i in range(len(_X))), *((d(f"p{i}{j}") / n / SCALE**2).alias(f"q{i}{j}") for i, j in _PAIRS))
-    floors = list(FLOORS.values())
-    for i, j in _PAIRS:
-        value = factor * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
-        if i == j:
-            value = F.greatest(value, F.lit(0.0)) + floors[i] ** 2
-        for k in range(j):
-            value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+    row = lambda i: F.shiftright(i * (i + 1), 1)  # where a triangle's row begins
+    floors = [F.lit(v**2) for v in FLOORS.values()]
+    entries = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _PAIRS))
+    none = F.array().cast("array<double>")
+
+    def factor_entry(l: Column, at: Column) -> Column:  # noqa: E741
+        i, j = at.i, at.j
+        before = F.zip_with(F.slice(l, row(i) + 1, j), F.slice(l, row(j) + 1, j), lambda a, b: a * b)
+        value = F.aggregate(before, F.get("c", row(i) + j), lambda v, x: v - x)
         # the floors keep every pivot positive; the guard is for rounding
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(floors[i] ** 2 / 4))) if i == j else value / F.col(f"l{j}{j}"))
-    det = sum((2 * F.log(f"l{i}{i}") for i in range(1, len(_X))), 2 * F.log("l00"))
-    out = out.withColumn("det", det)
-    for j in range(len(_X)):
-        for i in range(j, len(_X)):
-            above = sum((F.col(f"l{i}{t}") * F.col(f"k{t}{j}") for t in range(j + 1, i)), F.col(f"l{i}{j}") * F.col(f"k{j}{j}")) if i > j else None
-            out = out.withColumn(f"k{i}{j}", 1 / F.col(f"l{i}{i}") if above is None else -above / F.col(f"l{i}{i}"))
-    return out.select(*keep, *_NAMES, "det")
+        return F.array_append(l, F.when(i == j, F.sqrt(F.greatest(value, F.get("f", i) / 4))).otherwise(value / F.get(l, row(j) + j)))
+
+    def inverse_entry(k: Column, at: Column) -> Column:
+        i, j = at.i, at.j
+        above = F.transform(F.slice("l", row(i) + j + 1, i - j), lambda a, t: a * F.get(k, row(j + t) + j))
+        pivot = F.get("l", row(i) + i)
+        return F.array_append(k, F.when(i == j, 1 / pivot).otherwise(-F.aggregate(above, F.lit(0.0), lambda v, x: v + x) / pivot))
+
+    # triangles as arrays, a row after the other: an expression for each entry would make plans that fill the driver
+    out = sums.select(*keep, F.array(*(d(f"s{i}") / n / SCALE for i in range(len(_X)))).alias("m"), F.array(*(d(f"p{i}{j}") / n / SCALE**2 for i, j in _PAIRS)).alias("q"), F.array(*floors).alias("f"))
+    spread = F.transform(entries, lambda at, e: factor * (F.get("q", e) - F.get("m", at.i) * F.get("m", at.j)))
+    out = out.withColumn("c", F.zip_with(entries, spread, lambda at, v: F.when(at.i == at.j, F.greatest(v, F.lit(0.0)) + F.get("f", at.i)).otherwise(v)))
+    out = out.withColumn("l", F.aggregate(entries, none, factor_entry))
+    out = out.withColumn("k", F.aggregate(entries, none, inverse_entry))
+    pivots = F.transform(F.array(*(F.lit(_PAIRS.index((i, i))) for i in range(len(_X)))), lambda e: 2 * F.log(F.get("l", e)))
+    det = F.aggregate(pivots, F.lit(0.0), lambda v, x: v + x)
+    return out.select(*keep, *(F.col("m")[i].alias(f"m{i}") for i in range(len(_X))), *(F.col("k")[e].alias(f"k{i}{j}") for e, (i, j) in enumerate(_PAIRS)), det.alias("det"))
 
 
 _NAMES = [*(f"m{i}" for i in range(len(FLOORS))), *(f"k{i}{j}" for i, j in _PAIRS)]
@@ -182,7 +192,7 @@ def _starts(points: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _concentrated(points: DataFrame, now: DataFrame, groups: int, scratch: Scratch, name: str) -> DataFrame:
-    """The estimates from exactly the h nearest rows by those of `now`, and `old`, the determinant before."""
+    """The estimates from exactly the h nearest rows by those of `now`, where the determinant falls; else those of `now`, and `ended`."""
     key = ["grp", "start"]
     near = _judged(points, now.withColumnRenamed("total", "n"), groups).select(*key, *_X, "w", "h", _distance().alias("d"))
     binned = near.withColumn("bin", F.floor(F.log(F.col("d") + 1e-9) * _BIN).cast("int"))
@@ -195,8 +205,10 @@ def _concentrated(points: DataFrame, now: DataFrame, groups: int, scratch: Scrat
     taken = here.withColumn("upto", F.sum("w").over(nearest))
     partly = taken.withColumn("w", F.least(F.col("w"), F.col("h") - F.col("bn") - (F.col("upto") - F.col("w")))).where("w > 0")
     core = partly.groupBy(*key, *before).agg(*_sums()).select(*key, *((F.col(c) + F.col(f"b{c}")).alias(c) for c in _SUMS))
-    old = now.select(*key, "total", "h", F.col("det").alias("old"))
-    return _settled(old.join(_estimate(core, CORE_FACTOR, ("grp", "start")), key), groups * STARTS, scratch, name)
+    moved = _estimate(core, CORE_FACTOR, ("grp", "start")).select(*(F.col(c).alias(f"_{c}") for c in (*key, *_NAMES, "det")))
+    met = now.join(moved, F.expr("grp = _grp and start = _start")).withColumn("ended", ~(F.col("_det") < F.col("det") - FALLS))
+    after = (F.when(F.col("ended"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in (*_NAMES, "det"))
+    return _settled(met.select(*key, "total", "h", *after, "ended"), groups * STARTS, scratch, name)
 
 
 def _least(estimates: DataFrame, most: int) -> DataFrame:
@@ -213,13 +225,12 @@ def least_determinants(points: DataFrame, scratch: Scratch, starts: int = STARTS
     groups = sizes.count()
     now = _settled(_starts(points, sizes).where(F.col("start") < starts), groups * STARTS, scratch, "starts")
     for step in range(FIRST_STEPS):
-        now = _concentrated(points, now, groups, scratch, f"step{step}").drop("old")
-    now, done, step = _least(now, BEST), [], FIRST_STEPS
+        now = _concentrated(points, now.withColumn("det", F.lit(float("inf"))), groups, scratch, f"step{step}").drop("ended")
+    now, done, step = _settled(_least(now, BEST), groups * BEST, scratch, "best"), [], FIRST_STEPS
     while True:
         moved = _concentrated(points, now, groups, scratch, f"step{step}")
-        falls = F.col("det") < F.col("old") - FALLS
-        done.append(now.join(moved.where(~falls).select("grp", "start"), ["grp", "start"], "left_semi"))
-        now, step = moved.where(falls).drop("old"), step + 1
+        done.append(moved.where("ended").drop("ended"))
+        now, step = moved.where("not ended").drop("ended"), step + 1
         if now.isEmpty():
             return reduce(DataFrame.unionByName, done), groups
 

@@ -57,6 +57,23 @@ def test_least_determinant_against_all_subsets(spark, groups):
     assert [got[tuple(r)] > outliers.FAR for r in x] == [k < 20 for k in range(80)]
 
 
+def test_estimates_against_numpy_by_small_plans(spark, groups, monkeypatch):
+    rows = spark.createDataFrame([(g, *(int(v * outliers.SCALE) for v in r), 1) for g, x in groups.items() for r in x], "grp string, x0 long, x1 long, x2 long, x3 long, x4 long, w long")
+    found = outliers._estimate(rows.groupBy("grp").agg(*outliers._sums()), outliers.CORE_FACTOR, ("grp",))
+    for r in found.collect():
+        k = np.array([[r[f"k{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        m, c = estimate(groups[r["grp"]], outliers.CORE_FACTOR)
+        assert np.allclose([r[f"m{i}"] for i in range(5)], m) and np.allclose(k @ c @ k.T, np.eye(5)) and abs(r["det"] - np.linalg.slogdet(c)[1]) < 1e-9
+    # the driver holds and compiles the plans of all steps: an operator for each entry of a matrix, or a join for each step before, fills it
+    shape = lambda df: df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert len(shape(found)) < 12
+    ended = outliers.least_determinants(rows, Scratch(spark, "t"))[0]
+    assert not [x for x in shape(ended) if "Join" in x or "RDD" in x]
+    want = sorted(ended.collect())
+    monkeypatch.setattr(outliers, "SENT_GROUPS", 0)  # the same by files
+    assert sorted(outliers.least_determinants(rows, Scratch(spark, "t"))[0].collect()) == want
+
+
 def test_posterior_quantile_against_integration(spark):
     cases = [(a, b) for a in (0.4, 1.0, 1.5, 3.0, 40.0, 900.0) for b in (0.6, 1.0, 2.5, 30.0, 5000.0)]
     got = spark.createDataFrame(cases, "a double, b double").select("a", "b", url_reputation.beta_quantile(F.col("a"), F.col("b")).alias("q")).collect()
