@@ -192,23 +192,21 @@ def _starts(points: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _concentrated(points: DataFrame, now: DataFrame, groups: int, scratch: Scratch, name: str) -> DataFrame:
-    """The estimates from exactly the h nearest rows by those of `now`, where the determinant falls; else those of `now`, and `ended`."""
-    key = ["grp", "start"]
-    near = _judged(points, now.withColumnRenamed("total", "n"), groups).select(*key, *_X, "w", "h", _distance().alias("d"))
+    """The estimates from exactly the h nearest rows by those of `now`, and `ended`: the determinant fell no more."""
+    key, kept = ["grp", "start"], ["total", "h", "old"]
+    near = _judged(points, now.withColumnRenamed("det", "old").withColumn("n", F.col("total")), groups).select(*key, *kept, *_X, "w", _distance().alias("d"))
     binned = near.withColumn("bin", F.floor(F.log(F.col("d") + 1e-9) * _BIN).cast("int"))
     inside = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    upto = binned.groupBy(*key, "h", "bin").agg(*_sums()).select("*", *(F.sum(c).over(inside).alias(f"u{c}") for c in _SUMS))
+    upto = binned.groupBy(*key, *kept, "bin").agg(*_sums()).select("*", *(F.sum(c).over(inside).alias(f"u{c}") for c in _SUMS))
     before = [f"b{c}" for c in _SUMS]  # sums of all bins before the one in which the h-th row falls
     crossing = upto.where("un >= h and un - n < h").select(*(F.col(k).alias(f"_{k}") for k in (*key, "bin")), *((F.col(f"u{c}") - F.col(c)).alias(f"b{c}") for c in _SUMS))
     here = binned.join(F.broadcast(crossing) if groups <= SENT_GROUPS else crossing, F.expr("grp = _grp and start = _start and bin = _bin"))
     nearest = Window.partitionBy(*key).orderBy("d", *_X).rowsBetween(Window.unboundedPreceding, 0)
     taken = here.withColumn("upto", F.sum("w").over(nearest))
     partly = taken.withColumn("w", F.least(F.col("w"), F.col("h") - F.col("bn") - (F.col("upto") - F.col("w")))).where("w > 0")
-    core = partly.groupBy(*key, *before).agg(*_sums()).select(*key, *((F.col(c) + F.col(f"b{c}")).alias(c) for c in _SUMS))
-    moved = _estimate(core, CORE_FACTOR, ("grp", "start")).select(*(F.col(c).alias(f"_{c}") for c in (*key, *_NAMES, "det")))
-    met = now.join(moved, F.expr("grp = _grp and start = _start")).withColumn("ended", ~(F.col("_det") < F.col("det") - FALLS))
-    after = (F.when(F.col("ended"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in (*_NAMES, "det"))
-    return _settled(met.select(*key, "total", "h", *after, "ended"), groups * STARTS, scratch, name)
+    core = partly.groupBy(*key, *kept, *before).agg(*_sums()).select(*key, *kept, *((F.col(c) + F.col(f"b{c}")).alias(c) for c in _SUMS))
+    moved = _estimate(core, CORE_FACTOR, (*key, *kept))
+    return _settled(moved.withColumn("ended", ~(F.col("det") < F.col("old") - FALLS)).drop("old"), groups * STARTS, scratch, name)
 
 
 def _least(estimates: DataFrame, most: int) -> DataFrame:
@@ -226,13 +224,16 @@ def least_determinants(points: DataFrame, scratch: Scratch, starts: int = STARTS
     now = _settled(_starts(points, sizes).where(F.col("start") < starts), groups * STARTS, scratch, "starts")
     for step in range(FIRST_STEPS):
         now = _concentrated(points, now.withColumn("det", F.lit(float("inf"))), groups, scratch, f"step{step}").drop("ended")
-    now, done, step = _settled(_least(now, BEST), groups * BEST, scratch, "best"), [], FIRST_STEPS
-    while True:
-        moved = _concentrated(points, now, groups, scratch, f"step{step}")
-        done.append(moved.where("ended").drop("ended"))
-        now, step = moved.where("not ended").drop("ended"), step + 1
-        if now.isEmpty():
-            return reduce(DataFrame.unionByName, done), groups
+    now, step = _settled(_least(now, BEST), groups * BEST, scratch, "best"), FIRST_STEPS
+    trail = [now.withColumn("step", F.lit(step))]
+    while not now.isEmpty():
+        now = _concentrated(points, now, groups, scratch, f"step{step}").where("not ended").drop("ended")
+        step += 1
+        trail.append(now.withColumn("step", F.lit(step)))
+    # the last estimate of each start whose determinant fell; no joins of all steps' tables
+    rest = [c for c in now.columns if c not in ("grp", "start")]
+    last = F.max_by(F.struct(*rest), "step").alias("last")
+    return reduce(DataFrame.unionByName, trail).groupBy("grp", "start").agg(last).select("grp", "start", "last.*"), groups
 
 
 def robust_estimates(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
