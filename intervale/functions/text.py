@@ -11,6 +11,11 @@ def tokens(s) -> Column:
     return F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
+def words(s) -> Column:
+    """The tokens with blanks between them."""
+    return F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}_]+", " ")
+
+
 def strip(s) -> Column:
     return F.regexp_replace(s, r"^\s+|\s+$", "")
 

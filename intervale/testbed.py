@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,11 +60,25 @@ def boundary_prob(spark: SparkSession, sf_dir: str, size: int = SHORT) -> DataFr
     return e.select(_video(size=size).alias("video_id"), (F.col("vec_id") % size).cast("int").alias("t"), (((F.col("vec_id") * 37) % 101).cast("double") / 101).alias("b"))
 
 
-def intervals(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """video_id, event_id, start, end_, sentence of `pred` (even events) or `ref` (odd ones)."""
+def _intervals(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where(F.col("event_id") % 2 == (0 if which == "pred" else 1))
     d, n = _documents(spark, sf_dir)
     start = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
-    sentence = F.concat("event_type", F.lit(" "), "said")
     out = e.join(d, F.col("doc_id") == F.col("event_id") % n)
-    return out.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video_id"), "event_id", start.alias("start"), (start + F.col("value") * 3600).alias("end_"), sentence.alias("sentence"))
+    return out.withColumns({"video_id": F.concat(F.lit("u"), F.col("user_id").cast("string")), "start": start, "end_": start + F.col("value") * 3600})
+
+
+def intervals(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """video_id, event_id, start, end_, sentence of `pred` (even events) or `ref` (odd ones)."""
+    return _intervals(spark, sf_dir, which).select("video_id", "event_id", "start", "end_", F.concat("event_type", F.lit(" "), "said").alias("sentence"))
+
+
+def referring(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """`intervals` whose sentences are references: the document and the event's type."""
+    return _intervals(spark, sf_dir, which).select("video_id", "event_id", "start", "end_", F.struct("doc_id", "event_type").alias("sentence"))
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Adds to rows, of which the named column has references, their sentences as `text`; each document moves once, each row to its document."""
+    d = _documents(spark, sf_dir)[0].withColumnRenamed("doc_id", "_doc")
+    return lambda rows, name: rows.join(d, F.col(name)["doc_id"] == F.col("_doc")).withColumn("text", F.concat(F.col(name)["event_type"], F.lit(" "), "said")).drop("_doc", "said")
