@@ -388,3 +388,25 @@ def test_matching_takes_no_sentences(spark):
     found = evaluate.matches(evaluate.pairs(pred, evaluate.merged_refs(refs)))
     assert not {"p_sentence", "sentences"} & set(re.findall(r"\w+", found._jdf.queryExecution().optimizedPlan().toString()))
     assert rows(found, "threshold", "tp") == [(0.3, 1), (0.5, 1), (0.7, 1)]
+
+
+def test_silhouette_of_blocks_makes_no_row_of_a_pair(spark, monkeypatch):
+    """Equal and nearly equal vectors far from zero, clusters of one, points without a cluster or vector."""
+    monkeypatch.setattr(stats, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1e-5, (90, 6)) + 1e3 * np.eye(6)[np.arange(90) % 3] + 5
+    x[3:30:3] = x[0]
+    data = [(i, int(i % 3) if i < 89 else 7, [float(a) for a in v]) for i, v in enumerate(x)] + [(90, None, [0.0] * 6), (91, 1, None)]
+    out = stats.silhouette(spark.createDataFrame(data, "key long, cluster int, v array<double>"))
+    assert "Join Inner" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["key"]: r["width"] for r in out.collect()}
+    label = np.array([d[1] for d in data[:90]])
+    gap = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    for i in range(90):
+        own = gap[i][label == label[i]].sum() / max((label == label[i]).sum() - 1, 1)
+        other = min(gap[i][label == j].mean() for j in set(label) - {label[i]})
+        assert got[i] == pytest.approx((other - own) / max(own, other) if i < 89 else 0.0, abs=1e-9)
+    assert len(got) == 92 and got[90] == got[91] == 0.0
+    near = spark.createDataFrame([(i, i % 2, [1e4 + a, 1e4]) for i, a in enumerate((0.0, 4e-5, 1e-5, 5e-5))], "key long, cluster int, v array<double>")
+    assert [w for _, w in rows(stats.silhouette(near), "key", "width")] == pytest.approx([1 - 1 / 4.5, 1 - 1 / 3.5, 1 - 1 / 3.5, 1 - 1 / 4.5], abs=1e-3)
+    assert stats.silhouette(near.limit(1)).count() == 0
