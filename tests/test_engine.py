@@ -410,3 +410,28 @@ def test_silhouette_of_blocks_makes_no_row_of_a_pair(spark, monkeypatch):
     near = spark.createDataFrame([(i, i % 2, [1e4 + a, 1e4]) for i, a in enumerate((0.0, 4e-5, 1e-5, 5e-5))], "key long, cluster int, v array<double>")
     assert [w for _, w in rows(stats.silhouette(near), "key", "width")] == pytest.approx([1 - 1 / 4.5, 1 - 1 / 3.5, 1 - 1 / 3.5, 1 - 1 / 4.5], abs=1e-3)
     assert stats.silhouette(near.limit(1)).count() == 0
+
+
+def test_fits_go_together_and_alike_in_blocks_or_gathered(spark, monkeypatch):
+    """No fit is a series of jobs of its own, on threads that share a job's properties (which failed with "Cannot parse null string")."""
+    from pyspark.ml.clustering import KMeans
+
+    monkeypatch.setattr(KMeans, "fit", lambda *a: pytest.fail("a fit of its own"))
+    rng = np.random.default_rng(8)
+    x = np.eye(5)[np.arange(200) % 5] + rng.normal(0, 0.15, (200, 5))
+    points = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "key long, v array<double>")
+    assert len(stats.clusters(points, (2, 7), None, 5)) == 5
+    monkeypatch.setattr(stats, "BLOCK", 30)
+    data = points.select("key", vectors.unit("v").alias("u")).cache()
+    u = np.array([r["u"] for r in data.collect()])
+    tries = [(k, s) for k in (1, 3, 5, 9) for s in range(3)]
+    here = stats._fits(data, 200, tries)
+    monkeypatch.setattr(stats, "LOCAL_BYTES", 0)
+    for (cost, c), (same, d), (k, _) in zip(here, stats._fits(data, 200, tries), tries, strict=True):
+        gap = ((u[:, None] - c) ** 2).sum(2)
+        assert c.shape == (k, 5) and np.allclose(c, d) and cost == pytest.approx(same) == pytest.approx(gap.min(1).sum())
+        assert np.allclose(c, [u[gap.argmin(1) == j].mean(0) for j in range(k)], atol=0.05)
+    best = min(cost for (cost, _), (k, _) in zip(here, tries, strict=True) if k == 5)
+    assert best == pytest.approx(sum(((u[i::5] - u[i::5].mean(0)) ** 2).sum() for i in range(5)), rel=1e-3)
+    few = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(12)], "key long, v array<double>")
+    assert len(stats.clusters(few, (3, 4), 6, 5)) == 2
